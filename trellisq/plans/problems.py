@@ -5,11 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisq.operators import hierarchy, pivot, units
 from trellisq.operators.orphans import orphan_counts, orphan_references
 from trellisq.operators.shred import shred_table
 from trellisq.sources import table
 
 
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    return units.statements(table(spark, d, "ifc_entities"), table(spark, d, "ifc_source_models"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.contradictions(_stated(spark, d))
+
+
+def p1_converted(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of known unit in m, m² or m³."""
+    return _stated(spark, d).where("si_value is not null").drop("measure_type")
+
+
+def p1_predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Values without known unit: the predicted unit with its probability, converted or routed for review."""
+    return units.predict_units(_stated(spark, d))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy_links(table(spark, d, "relationship_members"), table(spark, d, "ifc_relationships"), table(spark, d, "ifc_entities"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.on_or_below_loops(_links(spark, d))
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(_links(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     both = [shred_table(table(spark, d, t), t, columns=False) for t in ("ifc_entities", "ifc_relationships")]
     return both[0].unionByName(both[1]).where("in_array and is_object").select("source_table", "record_id", F.col("node_id").alias("json_path"))
@@ -21,6 +52,19 @@ def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1]).withColumn("columns", F.to_json("columns"))
 
 
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    catalog = pivot.catalog_rows(table(spark, d, "attribute_catalog"))
+    return pivot.pivot(pivot.statements(table(spark, d, "ifc_entities"), catalog), catalog)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _wide(spark, d).select("entity_id", F.explode("unsettled").alias("attribute"))
+
+
+def p5_wide(spark: SparkSession, d: str) -> DataFrame:
+    return _wide(spark, d).withColumn("unsettled", F.concat_ws(",", "unsettled"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(table(spark, d, "relationship_members"), table(spark, d, "ifc_relationships"), table(spark, d, "ifc_entities")).select("member_id", "ref_field", "state")
 
@@ -55,7 +99,19 @@ with refs as (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_tables": p3_tables, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_converted": p1_converted,
+    "p1_predicted": p1_predicted,
+    "p2_found": p2_found,
+    "p2_paths": p2_paths,
+    "p3_found": p3_found,
+    "p3_tables": p3_tables,
+    "p5_found": p5_found,
+    "p5_wide": p5_wide,
+    "p6_found": p6_found,
+    "p6_counts": p6_counts,
+}
 
 ORACLES = {
     "p6_found": _P6 + "select member_id, ref_field, state from judged where state is not null",
