@@ -1,0 +1 @@
+"""Operators for large text and vector corpora. Nothing else in the library imports this subpackage."""
