@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellisq.llm import chunk, leaks, lookalike, tokenize
+from trellisq.llm import chunk, leaks, lookalike, nearest, tokenize
 from trellisq.sources import table
 
 
@@ -16,6 +16,15 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunk.split_texts(table(spark, d, "rag_documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.similar_pairs(table(spark, d, "rag_documents")).select("id_a", "id_b")
+
+
+def p7_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar rows of each row whose id is divisible by 100, against all rows of its group."""
+    return nearest.most_similar(table(spark, d, "rag_documents")).select("query_id", "rank", "neighbour_id", "similarity")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
@@ -32,7 +41,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_form(table(spark, d, "documents")).select("doc_id", "form")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_nearest": p7_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
 ORACLES = {
     "p4_found": r"""
