@@ -113,7 +113,21 @@ QUERIES = {
     "p6_counts": p6_counts,
 }
 
+_LINKS = """
+with recursive m as (
+  select distinct x.relationship_id as r, x.entity_id as e, case when lower(x.role) like 'relating%' then 1 when lower(x.role) like 'related%' then 0 end as owner
+  from relationship_members x join ifc_relationships y on y.id = x.relationship_id
+  where lower(y.ifc_class) in ('ifcrelaggregates', 'ifcrelnests', 'ifcrelcontainedinspatialstructure') and x.entity_id in (select id from ifc_entities)
+), links as (
+  select distinct b.e as child, a.e as parent from m a join m b on a.r = b.r where a.owner = 1 and b.owner = 0
+), above as (
+  select child, parent from links union select a.child, l.parent from above a join links l on l.child = a.parent
+)"""
+
 ORACLES = {
+    "p2_found": _LINKS + """, on_loop as (
+  select a.child as e, min(b.child) as loop_id from above a join above b on b.child = a.parent and b.parent = a.child group by 1
+) select distinct x.e as entity_id, o.loop_id from (select child as e, parent as a from above union select e, e from on_loop) x join on_loop o on o.e = x.a""",
     "p6_found": _P6 + "select member_id, ref_field, state from judged where state is not null",
     "p6_counts": _P6 + "select ref_field, state, strftime(rel_ts, '%Y-%m') as month, count(*) as n from judged where state is not null group by 1, 2, 3",
 }

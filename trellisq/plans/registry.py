@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def collect() -> list[tuple[dict, dict]]:
-    from trellisq.plans import problems
+    from trellisq.plans import problems, structure, typed
 
-    return [(problems.QUERIES, problems.ORACLES)]
+    return [(m.QUERIES, m.ORACLES) for m in (typed, structure, problems)]
