@@ -44,6 +44,15 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_nearest": p7_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
 ORACLES = {
+    "p7_found": """
+with v as (
+  select id, source_model_id, embedding_model, embedding from rag_documents
+  where len(embedding) = 1024 and list_max(list_transform(embedding, lambda x: abs(x))) > 0
+)
+select a.id as id_a, b.id as id_b from v a join v b
+on a.source_model_id = b.source_model_id and a.embedding_model = b.embedding_model and a.id < b.id
+where list_cosine_similarity(a.embedding, b.embedding) >= 0.92
+""",
     "p4_found": r"""
 select id from rag_documents
 where length(trim(regexp_replace(document_text, '[ \t\r\n]+', ' ', 'g'), ' ')) > 1500
