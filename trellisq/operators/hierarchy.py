@@ -278,3 +278,9 @@ def _unknot(tree: DataFrame, loops: DataFrame, s: Scratch) -> DataFrame:
     left = _endless(tree.select(F.col("v").alias("child"), "parent"), "child", "parent", s)
     stuck = left.select(F.col("a").alias("v")).join(loops.select(F.col("node").alias("v"), F.col("loop").alias("h")), "v")
     return tree.join(stuck, "v", "left").select("v", F.coalesce("h", "parent").alias("parent"), "n_parents")
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(entity_id, descendant_id, levels) from the rows of ``hierarchy``: every node below every node of its path."""
+    at = nodes.select(F.col("entity_id").alias("descendant_id"), "depth", F.posexplode("path").alias("level", "entity_id"))
+    return at.where("level < depth").select("entity_id", "descendant_id", (F.col("depth") - F.col("level")).alias("levels"))

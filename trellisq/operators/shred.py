@@ -99,16 +99,15 @@ class Inlining:
 
     @staticmethod
     def _recursive(children: dict[str, set[str]]) -> set[str]:
-        """Types on a cycle: what is left after types without children, or without parents, are peeled."""
+        """Types on a cycle (or between two): what is left after types without children or parents are peeled."""
         left = {n: set(c) for n, c in children.items()}
         while True:
-            names = set(left)
-            left = {n: {x for x in c if x in names} for n, c in left.items()}
-            keep = {n: c for n, c in left.items() if c}
-            if len(keep) == len(left):
-                break
+            below = set().union(*left.values()) if left else set()
+            keep = {n: {x for x in c if x in left} for n, c in left.items() if n in below}
+            keep = {n: c for n, c in keep.items() if c}
+            if keep == left:
+                return set(left)
             left = keep
-        return set(left)
 
     def has_table(self, name: str) -> bool:
         return self.everything or name in self.own

@@ -41,6 +41,10 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(_links(spark, d))
 
 
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.hierarchy(_links(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     both = [shred_table(table(spark, d, t), t, columns=False) for t in ("ifc_entities", "ifc_relationships")]
     return both[0].unionByName(both[1]).where("in_array and is_object").select("source_table", "record_id", F.col("node_id").alias("json_path"))
@@ -105,6 +109,7 @@ QUERIES = {
     "p1_predicted": p1_predicted,
     "p2_found": p2_found,
     "p2_paths": p2_paths,
+    "p2_descendants": p2_descendants,
     "p3_found": p3_found,
     "p3_tables": p3_tables,
     "p5_found": p5_found,
