@@ -86,9 +86,13 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], (x[ok] / norm[ok, None]).astype(np.float32)
 
 
-def passes(partial: np.ndarray, d: int, dim: int, bound: float | np.ndarray) -> np.ndarray:
-    """Whether a squared distance over d of dim dimensions leaves it open that the whole is within bound."""
-    return partial <= bound * (d / dim) * (1 + EPS / np.sqrt(d)) ** 2 if d < dim else partial <= bound
+def passes(partial: np.ndarray, d: int, dim: int, bound: float | np.ndarray, blur: float = 0.0) -> np.ndarray:
+    """Whether a squared distance over d of dim dimensions leaves it open that the whole is within bound.
+
+    blur is how far rounding may have moved the two ends together.
+    """
+    reach = np.sqrt(bound * (d / dim)) * (1 + EPS / np.sqrt(d) if d < dim else 1.0)
+    return partial <= (reach + blur) ** 2
 
 
 def _pack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +210,9 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.92, dim: int = DIM, p
 
     def scan(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
-        x = _matrix(t.column("block"), np.int8, first).astype(np.float32) * t.column("scale").to_numpy()[:, None]
+        scale = t.column("scale").to_numpy()
+        x = _matrix(t.column("block"), np.int8, first).astype(np.float32) * scale[:, None]
+        blur = float(scale.max()) * np.sqrt(first) + 1e-4
         home = np.flatnonzero(t.column("as_base").to_numpy(zero_copy_only=False))
         asks = np.flatnonzero(t.column("as_query").to_numpy(zero_copy_only=False))
         base = x[home]
@@ -215,7 +221,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.92, dim: int = DIM, p
         for start in range(0, len(asks), 1024):
             at = asks[start : start + 1024]
             part = (x[at] * x[at]).sum(1)[:, None] + norms - 2 * (x[at] @ base.T)
-            i, j = np.nonzero(passes(part, first, dim, bound))
+            i, j = np.nonzero(passes(part, first, dim, bound, blur))
             a.append(ids[at[i]])
             z.append(ids[home[j]])
         a, z = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (a, z))
