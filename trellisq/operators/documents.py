@@ -51,22 +51,29 @@ def _one(kind: str, value: Column) -> Column:
     return F.array(_say(kind, F.nullif(value, F.lit(""))))
 
 
-def _sets(kind: str, path: str) -> Column:
-    """Sentences of the fields of all sets, by set and field name; sets that are no objects have none."""
-    entries = F.array_sort(F.map_keys(F.expr(f"try_variant_get(v, '$.{path}', 'map<string,variant>')")))
-    outer = F.expr(f"try_variant_get(v, '$.{path}', 'map<string,variant>')")
+def _sets(kind: str, column: str) -> Column:
+    """Sentences of the fields of all sets, by set and field name; sets that are no objects have none.
+
+    column holds a map of maps, made in a projection of its own so that it is made once a row.
+    """
 
     def of_set(name: Column) -> Column:
-        fields = F.try_variant_get(outer[name], "$", "map<string,variant>")
-        return F.transform(F.array_sort(F.map_keys(fields)), lambda f: _say(kind, f, name, F.nullif(F.trim(F.try_variant_get(fields[f], "$.value", "string")), F.lit(""))))
+        return F.transform(F.array_sort(F.map_keys(F.col(column)[name])), lambda f: _say(kind, f, name, F.nullif(F.trim(F.try_variant_get(F.col(column)[name][f], "$.value", "string")), F.lit(""))))
 
-    named = F.filter(F.coalesce(entries, F.array().cast("array<string>")), lambda n: ~n.startswith("_"))
+    named = F.filter(F.coalesce(F.array_sort(F.map_keys(column)), F.array().cast("array<string>")), lambda n: ~n.startswith("_"))
     return F.flatten(F.transform(named, lambda n: F.coalesce(of_set(n), F.array().cast(_STRUCT))))
 
 
+def _with_sets(df: DataFrame, *sections: str) -> DataFrame:
+    for section in sections:
+        outer = F.try_variant_get("v", f"$.{section}", "map<string,variant>")
+        df = df.withColumn(section, F.transform_values(outer, lambda _, x: F.try_variant_get(x, "$", "map<string,variant>")))
+    return df
+
+
 def entity_sentences(entities: DataFrame) -> DataFrame:
     """id, source_model_id and the sentences of each entity in text order, without repeats."""
-    g = lambda p: F.get_json_object("canonical_json", p)
+    g = lambda p: F.try_variant_get("v", p, "string")
     ptype = g("$.meta.predefined_type")
     mats = F.from_json(g("$.materials"), "array<struct<name:string>>")
     cls = F.from_json(g("$.classifications"), "array<struct<system:string,code:string,description:string>>")
@@ -92,10 +99,11 @@ def entity_sentences(entities: DataFrame) -> DataFrame:
     ]
     said = F.filter(F.concat(*parts), lambda s: s["sentence"].isNotNull() & (s["sentence"] != ""))
     # Places run through the whole text, so that the order can be restored after the budget.
-    numbered = F.transform(said, lambda s, i: F.struct(s["priority"].alias("priority"), i.alias("place"), s["sentence"].alias("sentence")))
-    first = F.filter(numbered, lambda s: F.array_position(F.transform("said", lambda x: x["sentence"]), s["sentence"]) == s["place"] + 1)
+    numbered = F.transform("said", lambda s, i: F.struct(s["priority"].alias("priority"), i.alias("place"), s["sentence"].alias("sentence")))
+    first = F.filter("numbered", lambda s: F.array_position("texts", s["sentence"]) == s["place"] + 1)
     base = entities.select("id", "source_model_id", "canonical_json", F.try_parse_json("canonical_json").alias("v")).where("v is not null")
-    return base.withColumn("said", said).withColumn("sentences", first).select("id", "source_model_id", "sentences")
+    made = _with_sets(base, "property_sets", "quantity_sets").withColumn("said", said).withColumn("numbered", numbered).withColumn("texts", F.transform("said", lambda x: x["sentence"]))
+    return made.withColumn("sentences", first).select("id", "source_model_id", "sentences")
 
 
 def within_budget(sentences: Column, size, budget: int) -> Column:

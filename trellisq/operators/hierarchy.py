@@ -48,17 +48,25 @@ def hierarchy_links(members: DataFrame, relationships: DataFrame, entities: Data
 
 
 def _endless(links: DataFrame, start: str, end: str, s: Scratch) -> DataFrame:
-    """Nodes from which walks of any length lead from start to end: those on a loop or before one."""
-    walk = s.cut(links.select(F.col(start).alias("a"), F.col(end).alias("b")).distinct())
-    left = walk.select("a").distinct().count()
-    while left:
-        far = s.cut(walk.alias("x").join(walk.select(F.col("a").alias("m"), F.col("b").alias("c")), F.col("b") == F.col("m")).select("a", F.col("c").alias("b")).distinct(), None)
+    """Nodes from which walks of any length lead from start to end: those on a loop or before one.
+
+    They are all that is left as soon as a doubling step loses no node. While the pairs become fewer, nodes are
+    not counted.
+    """
+    walk, pairs = s.cut_counted(links.select(F.col(start).alias("a"), F.col(end).alias("b")).distinct())
+    left = None
+    while pairs:
+        far, now = s.cut_counted(walk.join(walk.select(F.col("a").alias("m"), F.col("b").alias("c")), F.col("b") == F.col("m")).select("a", F.col("c").alias("b")).distinct())
+        if now >= pairs:
+            before = walk.select("a").distinct().count() if left is None else left
+            left = far.select("a").distinct().count()
+            done = left == before
+        else:
+            left, done = None, False
         s.drop(walk)
-        now = far.select("a").distinct().count()
-        walk = far
-        if now == left:
+        walk, pairs = far, now
+        if done:
             break
-        left = now
     return walk.select("a").distinct()
 
 
@@ -79,12 +87,8 @@ def _loops(core: DataFrame, s: Scratch) -> DataFrame:
             # Disjoint rings: the smallest member by pointer jumping.
             ring = s.cut(rest.select(F.col("child").alias("v"), F.col("parent").alias("next"), F.least("child", "parent").alias("low")))
             while True:
-                jump = ring.alias("x").join(ring.select(F.col("v").alias("w"), F.col("next").alias("next2"), F.col("low").alias("low2")), F.col("next") == F.col("w"))
-                new = s.cut(jump.select("v", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
-                moved = new.where("moved").take(1)
-                s.drop(ring)
-                ring = new.drop("moved")
-                ring = s.cut(ring, new)
+                jump = ring.select("v", "next", "low").join(ring.select(F.col("v").alias("w"), F.col("next").alias("next2"), F.col("low").alias("low2")), F.col("next") == F.col("w"))
+                ring, moved = s.cut_counted(jump.select("v", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), "moved", ring)
                 if not moved:
                     return done.unionByName(ring.select(F.col("v").alias("node"), F.col("low").alias("loop")))
         # Interlocked loops, by colours: the smallest node that reaches each, then back from it within its colour.
@@ -92,21 +96,15 @@ def _loops(core: DataFrame, s: Scratch) -> DataFrame:
         colour = s.cut(nodes.select("v", F.col("v").alias("c")))
         while True:
             above = rest.join(colour.select(F.col("v").alias("parent"), F.col("c").alias("pc")), "parent").groupBy("child").agg(F.min("pc").alias("pc"))
-            new = s.cut(colour.join(above, F.col("v") == F.col("child"), "left").select("v", F.least("c", F.coalesce("pc", "c")).alias("c"), (F.col("pc") < F.col("c")).alias("moved")))
-            moved = new.where("moved").take(1)
-            s.drop(colour)
-            colour = s.cut(new.drop("moved"), new)
+            step = colour.select("v", "c").join(above, F.col("v") == F.col("child"), "left").select("v", F.least("c", F.coalesce("pc", "c")).alias("c"), (F.col("pc") < F.col("c")).alias("moved"))
+            colour, moved = s.cut_counted(step, "moved", colour)
             if not moved:
                 break
         same = rest.join(colour.select(F.col("v").alias("child"), F.col("c").alias("cc")), "child").join(colour.select(F.col("v").alias("parent"), F.col("c").alias("pc")), "parent").where("cc = pc").select("child", "parent")
         same = s.cut(same)
-        member = s.cut(colour.where("v = c").select("v", "c"))
-        n = member.count()
+        member, n = s.cut_counted(colour.where("v = c").select("v", "c"))
         while True:
-            more = s.cut(member.union(same.join(member, F.col("child") == F.col("v")).select(F.col("parent").alias("v"), "c")).distinct())
-            now = more.count()
-            s.drop(member)
-            member = more
+            member, now = s.cut_counted(member.union(same.join(member, F.col("child") == F.col("v")).select(F.col("parent").alias("v"), "c")).distinct(), replaces=member)
             if now == n:
                 break
             n = now
@@ -116,7 +114,7 @@ def _loops(core: DataFrame, s: Scratch) -> DataFrame:
         done = s.cut(done.unionByName(member.join(real, "c", "left_semi").select(F.col("v").alias("node"), F.col("c").alias("loop"))))
         gone = member.select("v")
         rest = s.cut(rest.join(gone.select(F.col("v").alias("child")), "child", "left_anti").join(gone.select(F.col("v").alias("parent")), "parent", "left_anti").select("child", "parent"), rest)
-        if rest.take(1):
+        if rest.take(1):  # heads and tails of what is left are peeled again
             up = _endless(rest, "child", "parent", s)
             rest = _within(rest, up)
             rest = s.cut(_within(rest, _endless(rest, "parent", "child", s)))
@@ -164,12 +162,12 @@ def euler_tours(tree: DataFrame, roots: DataFrame, s: Scratch) -> DataFrame:
     down = base.select((F.col("v") * 2).alias("arc"), F.coalesce(F.col("fc") * 2, F.col("v") * 2 + 1).alias("next"), weight.alias("w"), weight.alias("real"))
     up = base.select((F.col("v") * 2 + 1).alias("arc"), F.coalesce(F.col("next") * 2, F.col("parent") * 2 + 1).alias("next"), (-weight).alias("w"), F.lit(0).alias("real"))
     # rank: arcs from here to the end of the list, this one included; w: their weight; end: the last arc seen.
-    ranked = s.cut(down.unionByName(up).select("arc", "next", F.lit(1).cast("long").alias("rank"), F.col("w").cast("long"), F.col("real").cast("long"), F.col("arc").alias("end")))
-    while ranked.where("next is not null").take(1):
+    ranked, moving = s.cut_counted(down.unionByName(up).select("arc", "next", F.lit(1).cast("long").alias("rank"), F.col("w").cast("long"), F.col("real").cast("long"), F.col("arc").alias("end")), "next is not null")
+    while moving:
         ahead = ranked.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("rank").alias("rank2"), F.col("w").alias("w2"), F.col("real").alias("real2"), F.col("end").alias("end2"))
         sums = [(F.col(c) + F.col(f"{c}2")).alias(c) for c in ("rank", "w", "real")]
-        moving = ranked.where("next is not null").join(ahead, "next").select("arc", F.col("next2").alias("next"), *sums, F.col("end2").alias("end"))
-        ranked = s.cut(moving.unionByName(ranked.where("next is null")), ranked)
+        jumped = ranked.where("next is not null").join(ahead, "next").select("arc", F.col("next2").alias("next"), *sums, F.col("end2").alias("end"))
+        ranked, moving = s.cut_counted(jumped.unionByName(ranked.where("next is null")), "next is not null", ranked)
     side = F.pmod("arc", F.lit(2))
     v = F.shiftright("arc", 1)
     per = ranked.select(v.alias("v"), side.alias("side"), "rank", "w", "real", F.shiftright("end", 1).alias("root"))
@@ -247,10 +245,10 @@ def hierarchy(links: DataFrame) -> DataFrame:
     roots = s.cut(nodes.join(tree.select("v"), "v", "left_anti"))
     tours = s.cut(euler_tours(tree.select("v", "parent"), roots, s))
     # Paths by doubling: what is known above a node is put before what is known above its ancestor.
-    path = s.cut(nodes.join(tree.select("v", "parent"), "v", "left").select("v", F.col("parent").alias("top"), F.array("v").alias("path")))
-    while path.where("top is not null").take(1):
+    path, open_paths = s.cut_counted(nodes.join(tree.select("v", "parent"), "v", "left").select("v", F.col("parent").alias("top"), F.array("v").alias("path")), "top is not null")
+    while open_paths:
         ahead = path.select(F.col("v").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"))
-        path = s.cut(path.where("top is not null").join(ahead, "top").select("v", F.col("top2").alias("top"), F.concat("path2", "path").alias("path")).unionByName(path.where("top is null").select("v", "top", "path")), path)
+        path, open_paths = s.cut_counted(path.where("top is not null").join(ahead, "top").select("v", F.col("top2").alias("top"), F.concat("path2", "path").alias("path")).unionByName(path.where("top is null").select("v", "top", "path")), "top is not null", path)
     real = lambda c: F.when(F.pmod(F.col(c), F.lit(2)) == 0, F.expr(f"{c} div 2"))
     own_path = F.transform(F.filter("path", lambda x: F.pmod(x, F.lit(2)) == 0), lambda x: F.shiftright(x, 1))
     return (

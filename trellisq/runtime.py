@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
 
     def cut(self, df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         self.n += 1
@@ -39,12 +41,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._keep = getattr(self, "_keep", [])
-        self._keep.append(out)
+        self.kept.append(out)  # so that its id stays its own
         if replaces is not None:
             self.drop(replaces)
         return out
 
+    def cut_counted(self, df: DataFrame, where: str = "true", replaces: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """A cut with its number of rows for which a condition holds, counted while it is written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count_if(F.expr(where)).alias("n")), replaces)
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path is not None:
