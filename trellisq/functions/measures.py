@@ -101,6 +101,15 @@ def unit_of_key(key: str) -> tuple[str, float] | None:
     return unit_of(key.partition(":")[2].partition("#")[0]) if ":" in key else unit_of(key)
 
 
+def _positive(value: object) -> float | None:
+    """A positive number, also one written as text."""
+    if isinstance(value, str):
+        value = plain_number(value)
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return None
+    return float(value) if 0 < value < float("inf") else None
+
+
 def unit_of_definition(d: dict) -> tuple[str, float] | None:
     """The unit that a definition gives; none if it is marked as not resolved."""
     if not isinstance(d, dict) or d.get("resolved") is False:
@@ -111,10 +120,10 @@ def unit_of_definition(d: dict) -> tuple[str, float] | None:
         if not prefix or prefix in PREFIXES:
             return DIMENSIONS[si], PREFIXES.get(prefix, 1.0) ** si
     conv = d.get("conversion")
-    if isinstance(conv, dict) and isinstance(conv.get("value"), (int, float)) and not isinstance(conv.get("value"), bool):
-        base = unit_of(conv.get("unit_symbol"))
-        if base:
-            return base[0], base[1] * float(conv["value"])
+    if isinstance(conv, dict):
+        size, base = _positive(conv.get("value")), unit_of(conv.get("unit_symbol"))
+        if base and size:
+            return base[0], base[1] * size
     return unit_of(d.get("symbol")) or unit_of(d.get("name"))
 
 

@@ -14,6 +14,7 @@ texts of any length are searched whole. The evaluation set is held by every task
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,15 @@ def word_forms(texts: pa.Array) -> list[bytes]:
 class WuManber:
     """Multi-pattern search over bytes; values are what to report for each pattern."""
 
+    _held: tuple[str, WuManber] | None = None
+
+    @classmethod
+    def get(cls, name: str, patterns) -> WuManber:
+        """The machine of a broadcast set of patterns, built once in each process."""
+        if cls._held is None or cls._held[0] != name:
+            cls._held = (name, cls(patterns.value))
+        return cls._held[1]
+
     def __init__(self, patterns: dict[bytes, tuple[int, ...]]):
         self.patterns = patterns
         self.m = min(map(len, patterns))
@@ -157,10 +167,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS)
         patterns = passage_patterns(rows[start : start + BLOCK_ITEMS], min_words)
         if not patterns:
             continue
-        held = spark.sparkContext.broadcast(patterns)
+        held, name = spark.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            machine = WuManber(held.value)
+        def search(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
+            machine = WuManber.get(name, held)
             for b in batches:
                 ids, found = [], []
                 for doc, text in zip(b.column(0).to_pylist(), word_forms(b.column(1))):

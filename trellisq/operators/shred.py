@@ -7,7 +7,7 @@ its nearest ancestor with a table, as columns with dotted names. The second pass
 with a table: its node id (the JSON path), the node id of its parent row (the foreign key), its place in the
 array and its scalar columns.
 
-Defined results: a null or unreadable text has no rows; a string that holds a JSON array or object, at any
+Defined results: a null or unreadable text has no rows, nor has a record without id; a string that holds a JSON array or object, at any
 depth, stands for its content; null elements count for indexes; empty objects in arrays give rows without
 columns; a scalar in an array gives a row whose column is ``value``. Repeated keys: the last one counts.
 """
@@ -220,7 +220,7 @@ def shred_table(records: DataFrame, source_table: str, id_col: str = "id", json_
     schema = "record_id long, table_name string, node_id string, parent_node_id string, ordinal int, in_array boolean, is_object boolean"
     if columns:
         schema += ", columns map<string,string>"
-    return records.select(F.col(id_col).cast("long").alias("record_id"), F.col(json_col).alias("j")).mapInArrow(rows, schema).withColumn("source_table", F.lit(source_table))
+    return records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("record_id"), F.col(json_col).alias("j")).mapInArrow(rows, schema).withColumn("source_table", F.lit(source_table))
 
 
 def flat_table(shredded: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
