@@ -126,3 +126,35 @@ def test_empty(spark):
     assert H.on_or_below_loops(none).count() == 0
     assert H.hierarchy(none).count() == 0
     assert H.descendants(H.hierarchy(H.hierarchy_links(m, r, e))).collect()[0].asDict() == {"entity_id": 1, "descendant_id": 2, "levels": 1}
+
+
+def distances(links):
+    """Fewest links from each node down to every other."""
+    down = collections.defaultdict(set)
+    for p, c in links:
+        down[p].add(c)
+    out = {}
+    for v in {x for p in links for x in p}:
+        far, edge = {v: 0}, [v]
+        while edge:
+            edge = [c for c in {c for x in edge for c in down[x]} if c not in far and far.setdefault(c, far[next(x for x in edge if c in down[x])] + 1)]
+        out |= {(v, x): n for x, n in far.items() if x != v}
+    return out
+
+
+def test_all_descendants_against_closure(graph):
+    links, found = graph
+    got = [(r.entity_id, r.descendant_id, r.levels) for r in H.all_descendants(found).collect()]
+    want = distances(links)
+    assert set(want) == {(u, v) for v, above in closure(links).items() for u in above if u != v}
+    assert len(got) == len(want) and {(a, v): n for a, v, n in got} == want
+    rows = H.full_hierarchy(found).collect()
+    below = collections.Counter(a for a, _ in want)
+    assert {r.entity_id: r.n_descendants for r in rows} == {r.entity_id: below[r.entity_id] for r in rows}
+
+
+def test_all_descendants_by_hubs_and_without_extra_links(spark):
+    rows = [(1, 5, "RelatingObject", 1), (2, 5, "RelatingObject", 2), (3, 5, "RelatedObjects", 3), (4, 5, "RelatedObjects", 4), (5, 6, "RelatingObject", 4), (6, 6, "RelatedObjects", 2)]
+    for links, found in (([(1, 3), (1, 4), (2, 3), (2, 4), (4, 2)], tables(spark, None, rows=rows)), ([(1, 2), (2, 3)], tables(spark, [(1, 2), (2, 3)]))):
+        got = H.all_descendants(H.hierarchy_links(*found)).collect()
+        assert {(r.entity_id, r.descendant_id): r.levels for r in got} == distances(links)

@@ -18,7 +18,7 @@ as one loop of their smallest entity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellisq.runtime import Scratch
@@ -223,15 +223,8 @@ def on_or_below_loops(links: DataFrame) -> DataFrame:
     return reach.where(F.pmod("v", F.lit(2)) == 0).select(F.expr("v div 2").alias("entity_id"), F.expr("loop div 2").alias("loop_id"))
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
-    """entity_id, parent_id, root_id, depth, path, entry, exit, n_descendants, n_parents, loop_id of every node.
-
-    Loops are cut above their smallest entity, which becomes the root of what is on and below the loop; loop_id
-    marks the nodes on loops. ``path`` runs from the root to the node. All descendants of a node are the nodes
-    of its root with entry within (entry, exit).
-    """
-    s = Scratch(links.sparkSession, "hierarchy")
-    links = s.cut(links)
+def _tree(links: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((v, parent, n_parents) of every node with a tree parent, (node, loop) of the nodes on loops)."""
     _, loops = find_loops(links, s)
     heads = loops.select(F.col("loop").alias("child")).distinct()
     lc, lp = loops.select(F.col("node").alias("child"), F.col("loop").alias("cl")), loops.select(F.col("node").alias("parent"), F.col("loop").alias("pl"))
@@ -241,18 +234,131 @@ def hierarchy(links: DataFrame) -> DataFrame:
     tree = s.cut(kept.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n_parents")).select(F.col("child").alias("v"), "parent", "n_parents"))
     if loops.where("node <> loop").take(1):
         tree = s.cut(_unknot(tree, loops, s), tree)
-    nodes = links.select(F.col("child").alias("v")).union(links.select("parent")).distinct()
-    roots = s.cut(nodes.join(tree.select("v"), "v", "left_anti"))
-    tours = s.cut(euler_tours(tree.select("v", "parent"), roots, s))
-    # Paths by doubling: what is known above a node is put before what is known above its ancestor.
-    path, open_paths = s.cut_counted(nodes.join(tree.select("v", "parent"), "v", "left").select("v", F.col("parent").alias("top"), F.array("v").alias("path")), "top is not null")
-    while open_paths:
+    return tree, loops
+
+
+def _nodes(links: DataFrame) -> DataFrame:
+    return links.select(F.col("child").alias("v")).union(links.select("parent")).distinct()
+
+
+def _even(node: Column) -> Column:
+    """1 for an entity, 0 for a hub."""
+    return F.when(F.pmod(node, F.lit(2)) == 0, 1).otherwise(0)
+
+
+def _paths(nodes: DataFrame, tree: DataFrame, s: Scratch) -> DataFrame:
+    """(v, path) of a forest, path being (n, d) from the root to v: the nodes and the entities above each.
+
+    By doubling: what is known above a node is put before what is known above its ancestor.
+    """
+    start = nodes.join(tree.select("v", "parent"), "v", "left").select("v", F.col("parent").alias("top"), F.array(F.struct(F.col("v").alias("n"), F.lit(0).alias("d"))).alias("path"))
+    path, still = s.cut_counted(start, "top is not null")
+    while still:
         ahead = path.select(F.col("v").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"))
-        path, open_paths = s.cut_counted(path.where("top is not null").join(ahead, "top").select("v", F.col("top2").alias("top"), F.concat("path2", "path").alias("path")).unionByName(path.where("top is null").select("v", "top", "path")), "top is not null", path)
+        last = F.element_at("path2", -1)
+        off = last["d"] + _even(last["n"])
+        both = F.concat("path2", F.transform("path", lambda x: F.struct(x["n"].alias("n"), (x["d"] + off).alias("d"))))
+        path, still = s.cut_counted(path.where("top is not null").join(ahead, "top").select("v", F.col("top2").alias("top"), both.alias("path")).unionByName(path.where("top is null").select("v", "top", "path")), "top is not null", path)
+    return path.select("v", "path")
+
+
+def _above(paths: DataFrame) -> DataFrame:
+    """(a, v, levels) of each node and the nodes of its path, itself among them."""
+    at = paths.select("v", F.element_at("path", -1)["d"].alias("depth"), F.explode("path").alias("x"))
+    return at.select(F.col("x.n").alias("a"), "v", (F.col("depth") - F.col("x.d")).alias("levels"))
+
+
+def _off_tree(links: DataFrame, tree: DataFrame, paths: DataFrame, s: Scratch) -> DataFrame | None:
+    """(a, v, levels) of the nodes and those below them on ways that are not the tree's alone, with the fewest levels.
+
+    The links that are not in the tree are extra: further parents and those that close loops. All that is above an
+    extra parent arrives at its child, thence at the children of extra links below it (closed by doubling), and
+    counts for the whole subtrees of them. None if there are no extra links.
+    """
+    extra = s.cut(links.select(F.col("child").alias("c"), "parent").join(tree.select(F.col("v").alias("c"), "parent"), ["c", "parent"], "left_anti"))
+    if not extra.take(1):
+        return None
+    children = s.cut(extra.select("c").distinct())
+    parents = _above(paths.join(extra.select(F.col("parent").alias("v")), "v", "left_semi"))
+    arrive = s.cut(extra.join(parents, F.col("parent") == F.col("v")).groupBy("a", "c").agg(F.min(F.col("levels") + _even(F.col("parent"))).alias("levels")))
+    hop, fresh = s.cut_counted(arrive.join(children.select(F.col("c").alias("a")), "a", "left_semi"))
+    while fresh:
+        on = hop.select(F.col("a").alias("c"), F.col("c").alias("c2"), F.col("levels").alias("levels2"))
+        far = hop.join(on, "c").select("a", F.col("c2").alias("c"), (F.col("levels") + F.col("levels2")).alias("levels"), F.lit(None).cast("int").alias("old"))
+        least = far.unionByName(hop.select("a", "c", "levels", F.col("levels").alias("old"))).groupBy("a", "c").agg(F.min("levels").alias("levels"), F.min("old").alias("old"))
+        hop, fresh = s.cut_counted(least.select("a", "c", "levels", (F.col("old").isNull() | (F.col("levels") < F.col("old"))).alias("fresh")), "fresh", hop)
+    on = hop.select(F.col("a").alias("c"), F.col("c").alias("c2"), F.col("levels").alias("levels2"))
+    further = arrive.join(on, "c").select("a", F.col("c2").alias("c"), (F.col("levels") + F.col("levels2")).alias("levels"))
+    arrive = s.cut(arrive.unionByName(further).where("a % 2 = 0").groupBy("a", "c").agg(F.min("levels").alias("levels")), arrive)
+    under = _above(paths).join(children.select(F.col("c").alias("a")), "a", "left_semi").where("v % 2 = 0").select(F.col("a").alias("c"), "v", F.col("levels").alias("levels2"))
+    return s.cut(arrive.join(under, "c").where("a <> v").groupBy("a", "v").agg(F.min(F.col("levels") + F.col("levels2")).alias("levels")))
+
+
+def _real(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """The tree's parents that are links; in interlocked loops some are not."""
+    return tree.select("v", "parent").join(links.select(F.col("child").alias("v"), "parent"), ["v", "parent"], "left_semi")
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """(entity_id, descendant_id, levels): every entity below each by whatever parents, with the fewest levels between.
+
+    The members of a loop are descendants of each other and have what is below any of them; none is its own.
+    """
+    s = Scratch(links.sparkSession, "descendants")
+    links = s.cut(links)
+    tree = s.cut(_real(_tree(links, s)[0], links))
+    paths = _paths(_nodes(links), tree, s)
+    off = _off_tree(links, tree, paths, s)
+    within = lambda p: _above(p).where("a <> v and a % 2 = 0 and v % 2 = 0")
+    if off is None:
+        pairs = within(paths)
+    else:
+        # Only nodes with something off the tree above them have pairs to be merged.
+        merged = s.cut(off.select("v").distinct())
+        both = within(paths.join(merged, "v", "left_semi")).unionByName(off).groupBy("a", "v").agg(F.min("levels").alias("levels"))
+        pairs = within(paths.join(merged, "v", "left_anti")).unionByName(both)
+    return pairs.select(F.expr("a div 2").alias("entity_id"), F.expr("v div 2").alias("descendant_id"), "levels")
+
+
+def full_hierarchy(links: DataFrame) -> DataFrame:
+    """The rows of ``hierarchy`` with n_descendants by whatever parents, as ``all_descendants`` has them."""
+    s = Scratch(links.sparkSession, "hierarchy")
+    links = s.cut(links)
+    tree, loops = _tree(links, s)
+    paths = _paths(_nodes(links), tree, s)
+    rows = s.cut(_hierarchy(links, tree, loops, paths, s))
+    real = s.cut(_real(tree, links))
+    if real.count() < tree.count():
+        paths = _paths(_nodes(links), real, s)
+    off = _off_tree(links, real, paths, s)
+    if off is None:
+        return rows
+    ups = off.groupBy(F.expr("v div 2").alias("entity_id")).agg(F.collect_list(F.expr("a div 2")).alias("ups"))
+    more = rows.join(ups, "entity_id").select(F.explode(F.array_except("ups", "path")).alias("entity_id")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("more"))
+    return rows.join(more, "entity_id", "left").withColumn("n_descendants", F.col("n_descendants") + F.coalesce("more", F.lit(0))).select(rows.columns)
+
+
+def hierarchy(links: DataFrame) -> DataFrame:
+    """entity_id, parent_id, root_id, depth, path, entry, exit, n_descendants, n_parents, loop_id of every node.
+
+    Loops are cut above their smallest entity, which becomes the root of what is on and below the loop; loop_id
+    marks the nodes on loops. ``path`` runs from the root to the node. The descendants of a node in the tree, which
+    n_descendants counts, are the nodes of its root with entry within (entry, exit); those by other parents and
+    around loops are in ``all_descendants``, and counted by ``full_hierarchy``.
+    """
+    s = Scratch(links.sparkSession, "hierarchy")
+    links = s.cut(links)
+    tree, loops = _tree(links, s)
+    return _hierarchy(links, tree, loops, _paths(_nodes(links), tree, s), s)
+
+
+def _hierarchy(links: DataFrame, tree: DataFrame, loops: DataFrame, paths: DataFrame, s: Scratch) -> DataFrame:
+    roots = s.cut(_nodes(links).join(tree.select("v"), "v", "left_anti"))
+    tours = s.cut(euler_tours(tree.select("v", "parent"), roots, s))
     real = lambda c: F.when(F.pmod(F.col(c), F.lit(2)) == 0, F.expr(f"{c} div 2"))
-    own_path = F.transform(F.filter("path", lambda x: F.pmod(x, F.lit(2)) == 0), lambda x: F.shiftright(x, 1))
+    own_path = F.transform(F.filter("path", lambda x: F.pmod(x["n"], F.lit(2)) == 0), lambda x: F.shiftright(x["n"], 1))
     return (
-        tours.join(path.select("v", "path"), "v")
+        tours.join(paths, "v")
         .join(tree, "v", "left")
         .join(loops.select(F.col("node").alias("v"), F.col("loop").alias("lp")), "v", "left")
         .where(F.pmod("v", F.lit(2)) == 0)
@@ -279,6 +385,6 @@ def _unknot(tree: DataFrame, loops: DataFrame, s: Scratch) -> DataFrame:
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
-    """(entity_id, descendant_id, levels) from the rows of ``hierarchy``: every node below every node of its path."""
+    """(entity_id, descendant_id, levels) from the rows of ``hierarchy``, in the tree alone: every node below every node of its path."""
     at = nodes.select(F.col("entity_id").alias("descendant_id"), "depth", F.posexplode("path").alias("level", "entity_id"))
     return at.where("level < depth").select("entity_id", "descendant_id", (F.col("depth") - F.col("level")).alias("levels"))

@@ -38,11 +38,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(_links(spark, d))
+    return hierarchy.full_hierarchy(_links(spark, d))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(_links(spark, d)))
+    return hierarchy.all_descendants(_links(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
