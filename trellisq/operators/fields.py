@@ -136,10 +136,12 @@ def resolve_dimension(summary: DataFrame, model: int, name: str) -> FieldRef:
     return FieldRef(FieldKind.QUANTITY, name, sets[0])
 
 
-def schema_catalog(fields: DataFrame, per_set: int = 500) -> DataFrame:
-    """Distinct classes, sets and fields of each model with their counts; at most per_set fields of a set, by name."""
+def schema_catalog(fields: DataFrame, per_set: int | None = 500) -> DataFrame:
+    """Distinct sets and fields of each model with their counts; at most per_set fields of a set, by name, or all (None)."""
     from pyspark.sql import Window
 
     g = fields.groupBy("source_model_id", "section", "set_name", "field_name").agg(F.countDistinct("entity_id").alias("n_entities"), F.countDistinct("ifc_class").alias("n_classes"))
+    if per_set is None:
+        return g
     w = Window.partitionBy("source_model_id", "section", "set_name").orderBy("field_name")
     return g.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_set).drop("rn")

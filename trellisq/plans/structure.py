@@ -264,6 +264,36 @@ def _fields(s: SparkSession, d: str) -> DataFrame:
     return FL.entity_fields(_t(s, d, "ifc_entities")).where("section <> 'measurements'")
 
 
+#: The same with the measurements, which lie in no set.
+_ALL_FIELDS = _FIELDS.replace("\n), f as (", "\n), in_sets as (") + """, flat as (
+  select source_model_id, id as entity_id, ifc_class, 'measurements' as section, cast(null as varchar) as set_name, unnest(json_keys(canonical_json, '$.measurements')) as field_name, canonical_json from ifc_entities
+), f as (
+  select * from in_sets union all
+  select source_model_id, entity_id, ifc_class, section, set_name, field_name,
+    json_extract_string(canonical_json, '$.measurements."' || field_name || '".value'), json_type(canonical_json, '$.measurements."' || field_name || '".value'),
+    json_extract_string(canonical_json, '$.measurements."' || field_name || '".measure_type'), json_extract_string(canonical_json, '$.measurements."' || field_name || '".unit_override_key')
+  from flat
+)"""
+
+
+def _all_fields(s: SparkSession, d: str) -> DataFrame:
+    return FL.entity_fields(_t(s, d, "ifc_entities"))
+
+
+def _schema(s: SparkSession, d: str) -> DataFrame:
+    """Sets and fields of all sections, and the classes of entities and relationships as sections of their own."""
+    none = F.lit(None).cast("string").alias("set_name")
+    of = lambda t, section: _t(s, d, t).groupBy("source_model_id", F.lit(section).alias("section"), none, F.col("ifc_class").alias("field_name")).agg(F.countDistinct("id").alias("n_entities"), F.countDistinct("ifc_class").alias("n_classes"))
+    return FL.schema_catalog(_all_fields(s, d), None).unionByName(of("ifc_entities", "entity_classes")).unionByName(of("ifc_relationships", "relationship_classes"))
+
+
+_add(
+    "schema_catalog_all",
+    _schema,
+    _ALL_FIELDS + """ select source_model_id, section, set_name, field_name, count(distinct entity_id) as n_entities, count(distinct ifc_class) as n_classes from f group by 1, 2, 3, 4
+union all select source_model_id, 'entity_classes', null, ifc_class, count(distinct id), count(distinct ifc_class) from ifc_entities group by 1, 4
+union all select source_model_id, 'relationship_classes', null, ifc_class, count(distinct id), count(distinct ifc_class) from ifc_relationships group by 1, 4""",
+)
 _add(
     "profile_class_counts",
     lambda s, d: P.class_counts(_t(s, d, "ifc_entities")),
