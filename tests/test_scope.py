@@ -14,3 +14,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 def test_schema_catalog_has_all_sections(spark):
     rows = entry.queries()["schema_catalog_all"](spark, SMALL).select("section").distinct().collect()
     assert {r.section for r in rows} == {"property_sets", "quantity_sets", "measurements", "entity_classes", "relationship_classes"}
+
+
+@pytest.mark.parametrize("name", ["profile_field_coverage_all", "measure_facts_ladder_all"])
+def test_measurements_are_profiled(spark, name):
+    assert entry.queries()[name](spark, SMALL).where("section = 'measurements'").count() > 0
+
+
+def test_measurements_are_candidates(spark, entities, tmp_path):
+    record = {"measurements": {"fire rating": {"value": 1, "measure_type": "IfcReal"}}}
+    entities([(1, "IfcWall", json.dumps(record))]).write.parquet(f"{tmp_path}/ifc_entities.parquet")
+    assert "measurements.fire rating" in {r.name for r in entry.queries()["candidate_ranking"](spark, str(tmp_path)).collect()}

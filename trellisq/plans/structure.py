@@ -309,6 +309,11 @@ _add(
     lambda s, d: P.field_coverage(_fields(s, d), _t(s, d, "ifc_entities")),
     _FIELDS + ", t as (select ifc_class, count(*) as n_total from ifc_entities group by 1), g as (select ifc_class, section, set_name, field_name, count(distinct case when value <> '' then entity_id end) as n_filled from f group by 1, 2, 3, 4) select g.*, n_total, case when n_filled = 0 then 'absent' when n_filled >= n_total then 'populated' else 'partial' end as coverage from g join t using (ifc_class)",
 )
+_add(
+    "profile_field_coverage_all",
+    lambda s, d: P.field_coverage(_all_fields(s, d), _t(s, d, "ifc_entities")),
+    _ALL_FIELDS + ORACLES["profile_field_coverage"].removeprefix(_FIELDS),
+)
 _add(
     "profile_value_facts",
     lambda s, d: P.value_facts(_fields(s, d)).select("ifc_class", "field_name", "value", "n"),
@@ -321,9 +326,9 @@ _add(
 )
 
 
-def _measures(s: SparkSession, d: str) -> DataFrame:
+def _measures(s: SparkSession, d: str, fields=_fields) -> DataFrame:
     defaults, symbols = P.unit_tables(_t(s, d, "ifc_source_models"))
-    return P.measure_facts(_fields(s, d), defaults, symbols)
+    return P.measure_facts(fields(s, d), defaults, symbols)
 
 
 _add(
@@ -343,6 +348,7 @@ r as (select *, case when n_typed = 0 then 'not measured' when n_measures > 1 th
 select source_model_id, section, set_name, field_name, n_typed, n_untyped, case when n_measures = 1 then a_measure end as measure_type,
   case when limitation is null then 'uniform' when limitation = 'several units' then 'mixed' when limitation = 'not measured' then 'none' else 'unknown' end as unit_state, limitation, case when limitation is null then a_symbol end as symbol from r""",
 )
+_add("measure_facts_ladder_all", lambda s, d: _measures(s, d, _all_fields), _ALL_FIELDS + ORACLES["measure_facts_ladder"].removeprefix(_FIELDS))
 _add(
     "profile_materials",
     lambda s, d: P.materials(_t(s, d, "ifc_entities")),
@@ -389,7 +395,7 @@ _add(
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     items = s.createDataFrame([("L1", "walls"), ("L2", "fire rating"), ("L3", "net floor area"), ("L4", "is external")], "item_id string, text string")
-    return K.score(items, K.concepts(_t(s, d, "ifc_entities"), _fields(s, d)))
+    return K.score(items, K.concepts(_t(s, d, "ifc_entities"), _all_fields(s, d)))
 
 
 _add("candidate_ranking", _candidates, None)
