@@ -25,3 +25,14 @@ def test_measurements_are_candidates(spark, entities, tmp_path):
     record = {"measurements": {"fire rating": {"value": 1, "measure_type": "IfcReal"}}}
     entities([(1, "IfcWall", json.dumps(record))]).write.parquet(f"{tmp_path}/ifc_entities.parquet")
     assert "measurements.fire rating" in {r.name for r in entry.queries()["candidate_ranking"](spark, str(tmp_path)).collect()}
+
+
+def test_unresolved_endpoints_of_all_models(spark):
+    q = entry.queries()
+    members = spark.read.parquet(f"{SMALL}/relationship_members.parquet").select("id", "source_model_id")
+    assert q["unresolved_endpoints_all"](spark, SMALL).join(members, "id").select("source_model_id").distinct().count() > 1
+
+
+def test_natural_sort_has_all_rows(spark):
+    named = spark.read.parquet(f"{SMALL}/ifc_entities.parquet").where("get_json_object(canonical_json, '$.identity.name') is not null").count()
+    assert entry.queries()["natural_sort_rows"](spark, SMALL).count() == named > 100

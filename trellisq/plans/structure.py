@@ -131,6 +131,12 @@ _add(
     f"select m.id, m.relationship_id, m.role, m.endpoint_global_id from relationship_members m where m.relationship_id in (select id from ifc_relationships where source_model_id = {MODEL}) and not exists (select 1 from ifc_entities e where e.id = m.entity_id)",
 )
 
+_add(
+    "unresolved_endpoints_all",
+    lambda s, d: G.expand_relationships(_t(s, d, "ifc_relationships").select("id"), _t(s, d, "relationship_members"), _t(s, d, "ifc_entities"))[1],
+    "select m.id, m.relationship_id, m.role, m.endpoint_global_id from relationship_members m where m.relationship_id in (select id from ifc_relationships) and not exists (select 1 from ifc_entities e where e.id = m.entity_id)",
+)
+
 # --- sets of ids
 _RELATED = "select distinct entity_id from relationship_members where entity_id is not null"
 
@@ -446,7 +452,7 @@ select r.source_model_id, count(*) as n_rows, count(*) filter (where has and not
 )
 _add(
     "natural_sort_rows",
-    lambda s, d: _t(s, d, "ifc_entities").where(f"source_model_id = {MODEL}").select("id", F.get_json_object("canonical_json", "$.identity.name").alias("name")).where("name is not null").orderBy(natural_key(F.col("name")), "id").limit(100).select("id", "name"),
+    lambda s, d: _t(s, d, "ifc_entities").select("id", F.get_json_object("canonical_json", "$.identity.name").alias("name")).where("name is not null").orderBy(natural_key(F.col("name")), "id").select("id", "name"),
     None,
 )
 _add(
