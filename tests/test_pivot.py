@@ -11,7 +11,7 @@ CATALOG = [("IfcWall", "LoadBearing", "boolean"), ("IfcWall", "FireRating", "str
     "value,kind,want",
     [
         (".T.", "boolean", "true"), ("Nein", "boolean", "false"), (1, "boolean", "true"), (0.0, "boolean", "false"), ("vrai", "boolean", "true"), ("partly", "boolean", None), (2, "boolean", None), (" OUI ", "boolean", "true"),
-        ("+53", "int", "53"), ("53,0", "int", "53"), (53.0, "int", "53"), ("5.3e1", "int", "53"), ("53.5", "int", None), (True, "int", None), ("EI 30", "int", None), (10**30, "int", None), ("9" * 400, "int", None),
+        ("+53", "int", "53"), ("53,0", "int", "53"), (53.0, "int", "53"), ("5.3e1", "int", "53"), ("53.5", "int", None), (True, "int", None), ("EI 30", "int", None), (10**30, "int", None), ("9" * 400, "int", None), ("9007199254740993.0", "int", "9007199254740993"), ("9007199254740993", "int", "9007199254740993"), ("1e999999999", "int", None), ("5e-999999999", "int", None), ("0e5", "int", "0"),
         ("34,07", "double", "34.07"), ("3.407e+01", "double", "34.07"), ("-0", "double", "0.0"), ("nan", "double", None), ("1e999", "double", None), ("1.2.3", "double", None), ("< 5", "double", None),
         (" EI 30 ", "string", "ei 30"), (5, "string", "5"), ([1], "string", "[1]"), ("Ä", "string", "ä"),
     ],
@@ -24,7 +24,7 @@ def test_readings(value, kind, want):
     "text,want",
     [
         ("2019-02-22T00:00:00", "2019-02-22"), ("31.12.2020", "2020-12-31"), ("01.02.2020", "2020-02-01"), ("2020/02/30", None), ("20210131", "2021-01-31"), ("13/04/2020", "2020-04-13"), ("04/13/2020", "2020-04-13"), ("04/05/2020", None),
-        ("5/5/2020", "2020-05-05"), ("spring 2020", None), ("2020-05", None), ("week 12", None), ("12 March 2021", "2021-03-12"), ("3. März 2020", "2020-03-03"), ("Mar 3, 2020", "2020-03-03"), ("2021-17-11", "2021-11-17"), ("31122020", "2020-12-31"),
+        ("5/5/2020", "2020-05-05"), ("spring 2020", None), ("2020-05", None), ("week 12", None), ("12 March 2021", "2021-03-12"), ("3. März 2020", "2020-03-03"), ("Mar 3, 2020", "2020-03-03"), ("2021-17-11", None), ("2021-13-05", None), ("2021/13/05", None), ("05.13.2020", None), ("31122020", "2020-12-31"),
         ("2024-02-29 10:00", "2024-02-29"), ("2023-02-29", None), ("1/2/20", None), ("2020-01-02Tx", None),
     ],
 )

@@ -7,7 +7,9 @@ entity, with attributes encoded as column indices, into typed column buffers wit
 
 Defined results: null, blank and unreadable JSON state nothing; an entity of a class outside the catalog, or
 a null class, has no attributes and no row; an attribute with an unreadable statement, or with readable ones
-that differ, is ``unsettled`` and null in the wide row; repeated equal statements are one.
+that differ, is ``unsettled`` and null in the wide row; repeated equal statements are one. A date that starts
+with its year has the month next, one with dots its day first; an impossible day or month is not read by
+exchanging the two.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +59,14 @@ def _date(year: int, month: int, day: int) -> str | None:
 
 
 def read_date(text: str) -> str | None:
+    """The day a text names; the year first means month before day, dots mean the day first, slashes whichever order exists alone."""
     if m := YEAR_FIRST.fullmatch(text):
         y, a, b = (int(x) for x in m.groups())
-        return _date(y, a, b) or _date(y, b, a)
+        return _date(y, a, b)
     if m := YEAR_LAST.fullmatch(text):
         a, sign, b, y = int(m[1]), m[2], int(m[3]), int(m[4])
         if sign == ".":
-            return _date(y, b, a) or _date(y, a, b)
+            return _date(y, b, a)
         readings = {x for x in (_date(y, b, a), _date(y, a, b)) if x}
         return readings.pop() if len(readings) == 1 else None
     if m := COMPACT.fullmatch(text):
@@ -99,14 +103,14 @@ def read(value, data_type: str) -> str | None:
         return read_date(text)
     if not NUMBER.fullmatch(text):
         return None
-    number = float(text.replace(",", "."))
-    if not math.isfinite(number):
-        return None
+    text = text.replace(",", ".")
     if data_type == "double":
-        return repr(number + 0.0)
-    if number != int(number):
+        number = float(text)
+        return repr(number + 0.0) if math.isfinite(number) else None
+    exact = Decimal(text)
+    if exact and not -20 <= exact.adjusted() <= 18 or exact != exact.to_integral_value():
         return None
-    whole = int(text) if text.lstrip("+-").isdigit() else int(number)
+    whole = int(exact)
     return str(whole) if -(2**63) <= whole < 2**63 else None
 
 
