@@ -29,7 +29,17 @@ def test_budget_skips_and_goes_on(spark):
 def test_relationship_text(spark, entities):
     rec = {"meta": {"ifc_class": "IfcRelAggregates", "global_id": "r"}, "identity": {"name": None}, "scalars": {"b": 2, "a": "x", "OwnerHistory_step_id": 5}, "endpoints": {"RelatedObjects": [{"ifc_class": "IfcWall", "name": "W", "global_id": "w"}, {"ifc_class": "IfcDoor", "name": None}], "RelatingObject": {"ifc_class": "IfcSite", "global_id": "s"}, "Odd": "x"}}
     text = D.relationship_documents(entities([(1, "IfcRelAggregates", rec)])).first().document_text
-    assert text == "This is an IfcRelAggregates relationship. Its GlobalId is r. a: x. b: 2. RelatingObject: IfcSite (s). RelatedObjects[0]: IfcWall 'W' (w). RelatedObjects[1]: IfcDoor."
+    assert text == "This is an IfcRelAggregates relationship. Its GlobalId is r. a: x. b: 2. RelatingObject: IfcSite (GlobalId: s). RelatedObjects[0]: IfcWall (GlobalId: w, Name: 'W'). RelatedObjects[1]: IfcDoor."
+    members = spark.createDataFrame([(1, 1, "RelatedObjects", 0, 77), (2, 1, "RelatingObject", None, 78), (3, 1, "RelatedObjects", 1, None)], "id long, relationship_id long, role string, member_order int, entity_id long")
+    named = D.relationship_documents(entities([(1, "IfcRelAggregates", rec)]), members).first().document_text
+    assert named.endswith("RelatingObject: IfcSite (GlobalId: s, Entity ID: 78). RelatedObjects[0]: IfcWall (GlobalId: w, Name: 'W', Entity ID: 77). RelatedObjects[1]: IfcDoor.")
+
+
+def test_composed_and_hashed(spark, entities):
+    rec = lambda name, turned=False: dict(reversed(list({"meta": {"ifc_class": "IfcWall", "global_id": "g"}, "identity": {"name": name}}.items()))) if turned else {"meta": {"ifc_class": "IfcWall", "global_id": "g"}, "identity": {"name": name}}
+    got = {r.id: r for r in D.entity_documents(entities([(1, "IfcWall", rec("Tu\u0308r")), (2, "IfcWall", rec("T\u00fcr")), (3, "IfcWall", rec("T\u00fcr", True)), (4, "IfcWall", '{"identity": {"name": "Tu\\u0308r"}}')])).collect()}
+    assert got[1].document_text == got[2].document_text and "'T\u00fcr'" in got[1].document_text and "'T\u00fcr'" in got[4].document_text
+    assert got[2].source_hash == got[3].source_hash != got[1].source_hash
 
 
 def test_changes(spark):

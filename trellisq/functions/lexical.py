@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _IRREGULAR = {"people": "person", "children": "child", "feet": "foot", "shelves": "shelf", "leaves": "leaf"}
 TRUE, FALSE = {"true", "yes", "y", "1", "t", ".t."}, {"false", "no", "n", "0", "f", ".f."}
@@ -81,15 +83,14 @@ def resolve_value(asked: str | None, observed: list[str], exact: bool = False, c
     return None
 
 
-def normalized(text: Column) -> Column:
-    """The column form of normalize: canonical decomposition needs an Arrow UDF, the rest is built in."""
-    import pandas as pd
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKD").str.casefold()
 
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKD").str.casefold()
 
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(text), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " "))
+def normalized(text: Column) -> Column:
+    """The column form of normalize: canonical decomposition needs an Arrow UDF, the rest is built in; null stays null."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_folded(text), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " "))
 
 
 def identifier_words(name: Column) -> Column:
@@ -100,6 +101,14 @@ def identifier_words(name: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key that orders the figures in a text by value: each run of digits padded to 20."""
-    bits = F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.concat_ws("", F.transform(bits, lambda b: F.when(b.rlike(r"^\d"), F.lpad(b, 20, "0")).otherwise(F.lower(b))))
+    """A sort key that orders the figures in a text by value, of whatever length; null for null, so that callers put nulls last.
+
+    Each run of digits is written without leading zeros, after its length.
+    """
+    bits = F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(bit: Column) -> Column:
+        digits = F.ltrim(bit, F.lit("0"))
+        return F.when(bit.rlike("^[0-9]"), F.concat(F.lpad(F.char_length(digits).cast("string"), 9, "0"), digits)).otherwise(F.lower(bit))
+
+    return F.when(text.isNotNull(), F.concat_ws("", F.transform(bits, key)))

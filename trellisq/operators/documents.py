@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_CHARS, MAX_TOKENS = 4000, 2000
 #: Sentence kinds in order of priority, with their wording. Fixed values.
@@ -31,6 +38,30 @@ NO_TYPE = ("NOTDEFINED", "USERDEFINED", "NONE")
 _KINDS = [k for k, _ in SENTENCES]
 _WORDS = dict(SENTENCES)
 _STRUCT = "array<struct<priority:int,place:int,sentence:string>>"
+_SIZED = "array<struct<priority:int,place:int,sentence:string,tokens:int>>"
+
+
+def _composed(text: str | None) -> str | None:
+    """The composed form (NFC); a text with escapes is written anew first, so that accents in escapes compose too."""
+    if text is None:
+        return None
+    if "\\u" in text:
+        try:
+            text = json.dumps(json.loads(text), ensure_ascii=False).encode("utf-8", "replace").decode()
+        except (ValueError, RecursionError):
+            pass
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
+@F.arrow_udf(StringType())
+def composed_json(texts: pa.Array) -> pa.Array:
+    """The composed form (NFC) of JSON texts."""
+    return pa.array([_composed(t) for t in texts.to_pylist()], pa.string())
+
+
+def record_hash(text: Column) -> Column:
+    """SHA-256 of a record that does not depend on the order of its keys (a variant keeps them sorted); of the text itself if unreadable."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(text)), text), 256)
 
 
 def clean(text: Column) -> Column:
@@ -72,7 +103,7 @@ def _with_sets(df: DataFrame, *sections: str) -> DataFrame:
 
 
 def entity_sentences(entities: DataFrame) -> DataFrame:
-    """id, source_model_id and the sentences of each entity in text order, without repeats."""
+    """id, source_model_id, source_hash and the sentences of each entity in text order, without repeats."""
     g = lambda p: F.try_variant_get("v", p, "string")
     ptype = g("$.meta.predefined_type")
     mats = F.from_json(g("$.materials"), "array<struct<name:string>>")
@@ -101,17 +132,17 @@ def entity_sentences(entities: DataFrame) -> DataFrame:
     # Places run through the whole text, so that the order can be restored after the budget.
     numbered = F.transform("said", lambda s, i: F.struct(s["priority"].alias("priority"), i.alias("place"), s["sentence"].alias("sentence")))
     first = F.filter("numbered", lambda s: F.array_position("texts", s["sentence"]) == s["place"] + 1)
-    base = entities.select("id", "source_model_id", "canonical_json", F.try_parse_json("canonical_json").alias("v")).where("v is not null")
+    base = entities.select("id", "source_model_id", record_hash(F.col("canonical_json")).alias("source_hash"), F.try_parse_json(composed_json("canonical_json")).alias("v")).where("v is not null")
     made = _with_sets(base, "property_sets", "quantity_sets").withColumn("said", said).withColumn("numbered", numbered).withColumn("texts", F.transform("said", lambda x: x["sentence"]))
-    return made.withColumn("sentences", first).select("id", "source_model_id", "sentences")
+    return made.withColumn("sentences", first).select("id", "source_model_id", "source_hash", "sentences")
 
 
 def within_budget(sentences: Column, size, budget: int) -> Column:
-    """Sentences kept in order of priority while they fit; one that doesn't is skipped, later ones may still fit."""
-    start = F.struct(F.lit(0).alias("used"), F.array().cast(_STRUCT).alias("kept"))
+    """Sized sentences kept in order of priority while they fit; one that doesn't is skipped, later ones may still fit."""
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(_SIZED).alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
-        need = size(s["sentence"])
+        need = size(s)
         fits = acc["used"] + need <= budget
         return F.when(fits, F.struct((acc["used"] + need).alias("used"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
 
@@ -124,51 +155,79 @@ def surrogate_tokens(text: Column) -> Column:
 
 
 def render(docs: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """document_text, text_truncated, original and encoded token counts of sentence arrays."""
-    chars = within_budget(F.col("sentences"), lambda s: F.char_length(s) + 1, max_chars)
-    count = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + surrogate_tokens(s["sentence"]))
-    d = docs.withColumn("by_chars", chars).withColumn("kept", within_budget(F.col("by_chars"), surrogate_tokens, max_tokens))
+    """document_text, text_truncated, original and encoded token counts and text_hash of sentence arrays.
+
+    The tokens of each sentence are counted once, in a projection of their own.
+    """
+    sized = F.transform("sentences", lambda s: F.struct(s["priority"].alias("priority"), s["place"].alias("place"), s["sentence"].alias("sentence"), surrogate_tokens(s["sentence"]).alias("tokens")))
+    count = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + s["tokens"])
+    d = docs.withColumn("sized", sized)
+    d = d.withColumn("by_chars", within_budget(F.col("sized"), lambda s: F.char_length(s["sentence"]) + 1, max_chars))
+    d = d.withColumn("kept", within_budget(F.col("by_chars"), lambda s: s["tokens"], max_tokens))
     ordered = F.array_sort("kept", lambda a, b: a["place"] - b["place"])
-    return d.select(
+    text = d.select(
         *[c for c in docs.columns if c != "sentences"],
         F.concat_ws(" ", F.transform(ordered, lambda s: s["sentence"])).alias("document_text"),
         (F.size("kept") < F.size("sentences")).alias("text_truncated"),
-        count(F.col("sentences")).alias("original_token_count"),
+        count(F.col("sized")).alias("original_token_count"),
         count(F.col("kept")).alias("encoded_token_count"),
     )
+    return text.withColumn("text_hash", F.sha2("document_text", 256))
 
 
 def entity_documents(entities: DataFrame) -> DataFrame:
-    docs = render(entity_sentences(entities))
-    source = entities.select("id", F.sha2("canonical_json", 256).alias("source_hash"))
-    return docs.join(source, "id").withColumn("text_hash", F.sha2("document_text", 256))
+    return render(entity_sentences(entities))
+
 
+def relationship_documents(relationships: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Texts of relationships: identity, scalars by name, single ends, then listed ends, without repeats.
 
-def relationship_documents(relationships: DataFrame) -> DataFrame:
-    """Texts of relationships: identity, scalars by name, single ends, then listed ends."""
-    g = lambda p: F.get_json_object("canonical_json", p)
+    With members, the resolved entity of an end (by role and place, null for a single end; the largest of repeated
+    rows) is named too.
+    """
+    g = lambda p: F.try_variant_get("v", p, "string")
     say = lambda p, s: F.struct(F.lit(p).alias("priority"), F.lit(p).alias("place"), clean(s).alias("sentence"))
-    end = lambda e: F.concat_ws(" ", F.try_variant_get(e, "$.ifc_class", "string"), F.concat(F.lit("'"), F.nullif(F.try_variant_get(e, "$.name", "string"), F.lit("")), F.lit("'")), F.concat(F.lit("("), F.try_variant_get(e, "$.global_id", "string"), F.lit(")")))
-    scalars = F.expr("try_variant_get(v, '$.scalars', 'map<string,variant>')")
-    ends = F.expr("try_variant_get(v, '$.endpoints', 'map<string,variant>')")
+    filled = lambda c: F.nullif(c, F.lit(""))
+    part = lambda label, c: F.concat(F.lit(label), c)
+
+    def end(e: Column, key: Column) -> Column:
+        get = lambda k: F.try_variant_get(e, f"$.{k}", "string")
+        entity = F.try_element_at("known", key).cast("string")
+        inner = F.concat_ws(", ", part("STEP: ", get("step_id")), part("GlobalId: ", filled(get("global_id"))), F.concat(F.lit("Name: '"), filled(get("name")), F.lit("'")), part("Entity ID: ", entity))
+        return F.concat(F.coalesce(get("ifc_class"), F.lit("")), F.when(inner != "", F.concat(F.lit(" ("), inner, F.lit(")"))).otherwise(""))
+
+    base = relationships.select(
+        "id", "source_model_id", record_hash(F.col("canonical_json")).alias("source_hash"), F.try_parse_json(composed_json("canonical_json")).alias("v")
+    ).where("v is not null")
+    if members is None:
+        base = base.withColumn("known", F.create_map().cast("map<string,long>"))
+    else:
+        place = F.concat("role", F.lit("|"), F.coalesce(F.col("member_order").cast("string"), F.lit("")))
+        one = members.where("role is not null and entity_id is not null").groupBy(F.col("relationship_id").alias("m_rel"), place.alias("at")).agg(F.max("entity_id").alias("entity"))
+        known = one.groupBy("m_rel").agg(F.map_from_entries(F.collect_list(F.struct("at", "entity"))).alias("known"))
+        base = base.join(known, F.col("id") == F.col("m_rel"), "left").drop("m_rel")
+    base = base.withColumn("scalars", F.try_variant_get("v", "$.scalars", "map<string,variant>")).withColumn("ends", F.try_variant_get("v", "$.endpoints", "map<string,variant>"))
     none = F.array().cast(_STRUCT)
-    keys = lambda m: F.coalesce(F.array_sort(F.map_keys(m)), F.array().cast("array<string>"))
-    is_list = lambda x: F.schema_of_variant(x).startswith("ARRAY")
-    listed = lambda k: F.coalesce(F.transform(F.try_variant_get(ends[k], "$", "array<variant>"), lambda e, i: say(6, F.concat(k, F.lit("["), i, F.lit("]: "), end(e), F.lit(".")))), none)
+    names = lambda m: F.coalesce(F.array_sort(F.map_keys(m)), F.array().cast("array<string>"))
+    shape = lambda k, kind: F.schema_of_variant(F.col("ends")[k]).startswith(kind)
+    scalar = lambda k: say(4, F.concat(k, F.lit(": "), F.try_variant_get(F.col("scalars")[k], "$", "string"), F.lit(".")))
+    single = lambda k: say(5, F.concat(k, F.lit(": "), end(F.col("ends")[k], F.concat(k, F.lit("|"))), F.lit(".")))
+    one_of = lambda k: lambda e, i: say(6, F.concat(k, F.lit("["), i, F.lit("]: "), end(e, F.concat(k, F.lit("|"), i)), F.lit(".")))
+    listed = lambda k: F.coalesce(F.transform(F.try_variant_get(F.col("ends")[k], "$", "array<variant>"), one_of(k)), none)
     parts = F.concat(
         F.array(say(0, F.concat(F.lit("This is an "), F.coalesce(g("$.meta.ifc_class"), F.lit("IfcRelationship")), F.lit(" relationship.")))),
         F.array(say(1, F.concat(F.lit("Its GlobalId is "), F.coalesce(g("$.meta.global_id"), F.lit("")), F.lit(".")))),
-        F.array(say(2, F.concat(F.lit("Its name is '"), F.nullif(g("$.identity.name"), F.lit("")), F.lit("'.")))),
-        F.array(say(3, F.concat(F.lit("Description: "), F.nullif(g("$.identity.description"), F.lit("")), F.lit(".")))),
-        F.transform(F.filter(keys(scalars), lambda k: ~k.endswith("_step_id")), lambda k: say(4, F.concat(k, F.lit(": "), F.try_variant_get(scalars[k], "$", "string"), F.lit(".")))),
-        F.transform(F.filter(keys(ends), lambda k: F.schema_of_variant(ends[k]).startswith("OBJECT")), lambda k: say(5, F.concat(k, F.lit(": "), end(ends[k]), F.lit(".")))),
-        F.flatten(F.transform(F.filter(keys(ends), lambda k: is_list(ends[k])), listed)),
+        F.array(say(2, F.concat(F.lit("Its name is '"), filled(g("$.identity.name")), F.lit("'.")))),
+        F.array(say(3, F.concat(F.lit("Description: "), filled(g("$.identity.description")), F.lit(".")))),
+        F.transform(F.filter(names("scalars"), lambda k: k != "OwnerHistory_step_id"), scalar),
+        F.transform(F.filter(names("ends"), lambda k: shape(k, "OBJECT")), single),
+        F.flatten(F.transform(F.filter(names("ends"), lambda k: shape(k, "ARRAY")), listed)),
     )
-    said = F.filter(parts, lambda s: s["sentence"].isNotNull() & (s["sentence"] != ""))
-    numbered = F.transform(said, lambda s, i: F.struct(s["priority"].alias("priority"), i.alias("place"), s["sentence"].alias("sentence")))
-    base = relationships.select("id", "source_model_id", "canonical_json", F.try_parse_json("canonical_json").alias("v")).where("v is not null")
-    docs = render(base.withColumn("sentences", numbered).select("id", "source_model_id", "sentences"))
-    return docs.join(relationships.select("id", F.sha2("canonical_json", 256).alias("source_hash")), "id").withColumn("text_hash", F.sha2("document_text", 256))
+    d = base.withColumn("parts", parts).withColumn("said", F.filter("parts", lambda s: s["sentence"].isNotNull() & (s["sentence"] != "")))
+    d = d.withColumn("texts", F.transform("said", lambda s: s["sentence"]))
+    d = d.withColumn("numbered", F.transform("said", lambda s, i: F.struct(s["priority"].alias("priority"), i.alias("place"), s["sentence"].alias("sentence"))))
+    d = d.withColumn("sentences", F.filter("numbered", lambda s: F.array_position("texts", s["sentence"]) == s["place"] + 1))
+    return render(d.select("id", "source_model_id", "source_hash", "sentences"))
 
 
 def classify_changes(prior: DataFrame, now: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
@@ -191,8 +250,6 @@ def to_embed(prior: DataFrame, now: DataFrame, dim: int, keys: list[str]) -> Dat
 
 def embed(docs: DataFrame, encoder, dim: int, text_col: str = "document_text") -> DataFrame:
     """embedding of each text by an injected encoder (texts to a matrix), normalised; a bad vector fails the job."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
@@ -210,8 +267,6 @@ def hash_encoder(dim: int):
     import zlib
 
     def encode(texts: list[str]):
-        import numpy as np
-
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():

@@ -26,16 +26,16 @@ def storeys(entities: DataFrame) -> DataFrame:
 def bands(levels: DataFrame) -> DataFrame:
     """The band of each storey, from 0 upwards: a gap over 0.3 of the model's largest starts a new one.
 
-    The method has no scale: metres and millimetres give the same bands.
+    Gaps within rounding (1e-9 of the model's extent) are none. The method has no scale: metres and millimetres
+    give the same bands.
     """
     order = Window.partitionBy("source_model_id").orderBy("elevation", "global_id")
     whole = Window.partitionBy("source_model_id")
-    gap = F.col("elevation") - F.lag("elevation").over(order)
-    g = levels.withColumn("gap", gap).withColumn("largest", F.max(F.when(F.col("gap") > 0, F.col("gap"))).over(whole))
     span = F.max("elevation").over(whole) - F.min("elevation").over(whole)
-    eps = F.greatest(span, F.lit(1.0)) * 1e-9
-    starts = F.coalesce((F.col("gap") > GAP * F.col("largest") + F.col("eps")).cast("int"), F.lit(0))
-    return g.withColumn("eps", eps).withColumn("starts", starts).withColumn("band", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap", "largest", "eps", "starts")
+    g = levels.withColumn("gap", F.col("elevation") - F.lag("elevation").over(order)).withColumn("eps", F.greatest(span, F.lit(1.0)) * 1e-9)
+    g = g.withColumn("largest", F.max(F.when(F.col("gap") > F.col("eps"), F.col("gap"))).over(whole))
+    starts = F.coalesce((F.col("gap") > GAP * F.col("largest")).cast("int"), F.lit(0))
+    return g.withColumn("starts", starts).withColumn("band", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap", "largest", "eps", "starts")
 
 
 def band_summary(banded: DataFrame) -> DataFrame:

@@ -219,9 +219,10 @@ with l as (
 ), g as (
   select *, elevation - lag(elevation) over (partition by source_model_id order by elevation, global_id) as gap from l where elevation is not null
 ), x as (
-  select *, max(case when gap > 0 then gap end) over (partition by source_model_id) as largest, greatest(max(elevation) over (partition by source_model_id) - min(elevation) over (partition by source_model_id), 1.0) * 1e-9 as eps from g
+  select *, max(case when gap > eps then gap end) over (partition by source_model_id) as largest
+  from (select *, greatest(max(elevation) over (partition by source_model_id) - min(elevation) over (partition by source_model_id), 1.0) * 1e-9 as eps from g)
 ), b as (
-  select source_model_id, id, elevation, cast(sum(case when coalesce(gap > 0.3 * largest + eps, false) then 1 else 0 end) over (partition by source_model_id order by elevation, global_id rows unbounded preceding) as bigint) as band from x
+  select source_model_id, id, elevation, cast(sum(case when coalesce(gap > 0.3 * largest, false) then 1 else 0 end) over (partition by source_model_id order by elevation, global_id rows unbounded preceding) as bigint) as band from x
 )"""
 
 
@@ -408,7 +409,7 @@ _add("candidate_ranking", _candidates, None)
 
 # --- documents and ingestion
 _add("doc_template_text", lambda s, d: D.entity_documents(_t(s, d, "ifc_entities")), None)
-_add("doc_relationship_text", lambda s, d: D.relationship_documents(_t(s, d, "ifc_relationships")), None)
+_add("doc_relationship_text", lambda s, d: D.relationship_documents(_t(s, d, "ifc_relationships"), _t(s, d, "relationship_members")), None)
 _add("doc_hash", lambda s, d: _t(s, d, "rag_documents").select("id", F.sha2("document_text", 256).alias("text_hash")), "select id, sha256(document_text) as text_hash from rag_documents")
 
 
@@ -452,8 +453,10 @@ select r.source_model_id, count(*) as n_rows, count(*) filter (where has and not
 )
 _add(
     "natural_sort_rows",
-    lambda s, d: _t(s, d, "ifc_entities").select("id", F.get_json_object("canonical_json", "$.identity.name").alias("name")).where("name is not null").orderBy(natural_key(F.col("name")), "id").select("id", "name"),
-    None,
+    lambda s, d: _t(s, d, "ifc_entities").select("id", F.get_json_object("canonical_json", "$.identity.name").alias("name")).withColumn("key", natural_key(F.col("name"))).orderBy(F.col("key").asc_nulls_last(), "id"),
+    """select id, name, case when name is not null then array_to_string(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'),
+  lambda x: case when regexp_matches(x, '^[0-9]') then lpad(cast(length(ltrim(x, '0')) as varchar), 9, '0') || ltrim(x, '0') else lower(x) end), '') end as key
+from (select id, json_extract_string(canonical_json, '$.identity.name') as name from ifc_entities) order by key nulls last, id""",
 )
 _add(
     "page_rows",

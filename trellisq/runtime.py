@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,6 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+#: Folders of this program's calls, removed when it ends.
+_roots: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, root in _roots:
+        try:
+            delete(spark, root)
+        except Exception:  # noqa: BLE001 - the session has ended before; the folder is left to the cluster
+            return
+
+
 class Scratch:
     """Written intermediate tables of one operator call.
 
@@ -31,6 +60,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _roots.append((spark, self.root))
         self.n = 0
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []
@@ -55,6 +85,14 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path is not None:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
+
+    def finish(self, result: DataFrame) -> DataFrame:
+        """The result, which reads some of the tables; all others are removed now, these when the program ends."""
+        read = {f.rpartition("/")[0].rpartition("/")[2] for f in result.inputFiles() if f"/{self.root.rpartition('/')[2]}/" in f}
+        for key, path in list(self.paths.items()):
+            if path.rpartition("/")[2] not in read:
+                del self.paths[key]
+                delete(self.spark, path)
+        self.kept.clear()
+        return result

@@ -32,8 +32,10 @@ def scan_report(records: DataFrame) -> DataFrame:
 
 
 def safe_scalar(c):
-    """Text trimmed, NaN and infinities null."""
-    return F.when(c.cast("double").isNotNull() & (F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))), None).otherwise(c)
+    """Text trimmed; numbers as they are, but NaN and infinities (as numbers or their text) null."""
+    text = F.trim(c.cast("string"))
+    number = text.try_cast("double")
+    return F.when(~F.coalesce(F.isnan(number) | (F.abs(number) == float("inf")), F.lit(False)), text)
 
 
 def explode_members(relationships: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisq.runtime import exists
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -34,10 +36,8 @@ def classify_batches(records: DataFrame, state_path: str, keys: list[str], out_p
         spark = batch.sparkSession
         hashed = batch.withColumn("row_hash", F.sha2(F.to_json(F.struct(*[c for c in batch.columns if c not in keys])), 256)).dropDuplicates(keys).select(*keys, "row_hash")
         old = f"{state_path}/{epoch - 1}"
-        try:
-            prior = spark.read.parquet(old)
-        except Exception:  # noqa: BLE001 - the first batch has no state
-            prior = hashed.where(F.lit(False))
+        # Only the first batch has no state; one that is there but can't be read is an error.
+        prior = spark.read.parquet(old) if exists(spark, old) else hashed.where(F.lit(False))
         p = prior.select(*(F.col(k).alias(f"p_{k}") for k in keys), F.col("row_hash").alias("p_hash"))
         on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys]
         state = F.when(F.col("p_hash").isNull(), "new").when(F.col("p_hash") == F.col("row_hash"), "unchanged").otherwise("changed")
