@@ -158,3 +158,35 @@ def test_all_descendants_by_hubs_and_without_extra_links(spark):
     for links, found in (([(1, 3), (1, 4), (2, 3), (2, 4), (4, 2)], tables(spark, None, rows=rows)), ([(1, 2), (2, 3)], tables(spark, [(1, 2), (2, 3)]))):
         got = H.all_descendants(H.hierarchy_links(*found)).collect()
         assert {(r.entity_id, r.descendant_id): r.levels for r in got} == distances(links)
+
+
+def test_long_interlocked_loops_in_few_steps(spark, monkeypatch):
+    """A ring of 5,000 with chords, rings in a row and a dense knot: the number of steps does not grow with them."""
+    rng = random.Random(9)
+    n = 5000
+    links = [(i, (i + 1) % n) for i in range(n)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(40)]
+    links += [(10_000 + rng.randrange(300), 10_000 + rng.randrange(300)) for _ in range(1500)]
+    for k in range(40):  # rings one below the other
+        links += [(20_000 + 3 * k + i, 20_000 + 3 * k + (i + 1) % 3) for i in range(3)] + [(20_000 + 3 * k, 20_003 + 3 * k)]
+    links = [(p, c) for p, c in links if p != c]
+    cuts = []
+    cut = H.Scratch.cut
+    monkeypatch.setattr(H.Scratch, "cut", lambda self, *a, **k: cuts.append(1) or cut(self, *a, **k))
+    found = spark.createDataFrame([(2 * c, 2 * p) for p, c in set(links)], "child long, parent long")
+    got = {(r.entity_id, r.loop_id) for r in H.on_or_below_loops(found).collect()}
+    ring = {(v, 0) for v in range(n)}
+    chain = {(20_000 + 3 * k + i, 20_000 + 3 * j) for k in range(40) for i in range(3) for j in range(k + 1)} | {(20_120, 20_000 + 3 * j) for j in range(40)}
+    knot = brute([(p, c) for p, c in links if 10_000 <= p < 20_000])
+    assert {x for x in got if x[0] < 10_000} == ring and {x for x in got if 10_000 <= x[0] < 20_000} == knot and {x for x in got if x[0] >= 20_000} == chain
+    assert len(cuts) < 300
+
+
+def test_deep_chain_and_comb(spark):
+    """Paths and descendants from intervals at a depth of 300, with leaves all along it, and entities without links."""
+    links = [(i, i + 1) for i in range(1, 300)] + [(i, 1000 + i) for i in range(1, 300)]
+    found = H.hierarchy_links(*tables(spark, links))
+    ents = spark.createDataFrame([(i,) for i in {x for p in links for x in p} | {5000, 5001}] + [(None,), (5000,)], "id long")
+    rows = {r.entity_id: r for r in H.full_hierarchy(found, ents).collect()}
+    assert len(rows) == 601 and rows[300].path == list(range(1, 301)) and rows[1299].path == [*range(1, 300), 1299] and rows[1].n_descendants == 598
+    assert rows[5000].path == [5000] and rows[5000].root_id == 5000 and rows[5000].depth == rows[5000].n_descendants == 0 and rows[5000].loop_id is None
+    assert H.all_descendants(found).count() == sum(len(a) for a in closure(links).values())
