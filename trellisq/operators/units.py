@@ -8,7 +8,8 @@ regression on held-out statements. Confident predictions are converted; the othe
 
 Defined results: null or unreadable JSON has no statements, nor has a row without id; a statement without a finite number has a null
 value and counts for no comparison; a unit without usable definition is no unit; repeated statements each
-give a row. Extra columns are never read.
+give a row. What has no unit and no number above zero, or no dimension, is for review. Extra columns are never
+read. All units that the sample of labelled statements holds are classes of the ensemble.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellisq.functions.measures import model_units, plain_number, written_quantity
+from trellisq.operators import forest
 from trellisq.operators.shred import _inner, _load
+from trellisq.runtime import Scratch
 
 SECTIONS = ("quantity_sets", "measurements", "property_sets")
 #: Labelled statements to fit the classifier on, at most; the same number again calibrates it.
@@ -123,94 +127,145 @@ def statements(entities: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def contradictions(stated: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Entities and quantity names whose statements of known unit differ by more than the tolerance."""
+def contradictions(converted: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """Entities and quantity names whose statements of known unit differ by more than the tolerance.
+
+    Of the rows of ``convert_units`` those with a predicted unit count for no comparison.
+    """
+    known = F.col("decision") == "known" if "decision" in converted.columns else F.lit(True)
     dims = ("length", "area", "volume")
     aggs = [F.max(F.col("section") == "quantity_sets").alias("has")]
     for d in dims:
-        v = F.when(F.col("dim") == d, F.col("si_value"))
+        v = F.when((F.col("dim") == d) & known, F.col("si_value"))
         aggs += [F.count(v).alias(f"n_{d}"), F.min(v).alias(f"lo_{d}"), F.max(v).alias(f"hi_{d}")]
     differs = F.lit(False)
     for d in dims:
         differs = differs | F.coalesce((F.col(f"n_{d}") >= 2) & (F.col(f"hi_{d}") - F.col(f"lo_{d}") > tolerance * F.abs(F.col(f"hi_{d}")) * (1 + 1e-9)), F.lit(False))
-    return stated.groupBy("entity_id", "quantity_name").agg(*aggs).where(F.col("has") & differs).select("entity_id", "quantity_name")
+    return converted.groupBy("entity_id", "quantity_name").agg(*aggs).where(F.col("has") & differs).select("entity_id", "quantity_name")
 
 
 FEATURES = ["magnitude", "source_level", "source_known", "expected", "has_expected", "class_code", "is_length", "is_area", "is_volume", "neighbour", "has_neighbour"]
+DIMS = ("length", "area", "volume")
+KEYS = ["entity_id", "source_model_id", "ifc_class", "section", "set_name", "quantity_name", "raw", "measure_type", "unit_source"]
 
 
-def _features(stated: DataFrame) -> DataFrame:
-    """Numeric statements with magnitude, source, category and neighbouring fields as numbers.
+def _features(stated: DataFrame, rows: DataFrame) -> DataFrame:
+    """Magnitude, source, category and neighbouring fields of rows (with ``want``, the dimension) as numbers.
 
-    The helper aggregates are per model, per name and per entity, all pre-aggregated before their shuffle.
+    The statistics are per name, per model and per entity over all statements, aggregated before they are joined, and
+    a labelled row's own value is taken out of each.
     """
+    positive = F.col("si_value") > 0
+    usual = stated.where(positive).groupBy(F.col("quantity_name").alias("u_name"), F.col("dim").alias("u_dim")).agg(F.sum(F.log10("si_value")).alias("u_sum"), F.count(F.lit(1)).alias("u_n"))
     known = F.col("unit_source").isin("override", "default") & (F.col("raw") > 0)
-    usual = stated.where("dim is not null").groupBy("quantity_name").agg(F.max_by("dim", F.lit(1)).alias("usual_dim"), F.avg(F.when(F.col("si_value") > 0, F.log10("si_value"))).alias("usual"))
     level = stated.where(known).groupBy(F.col("source_model_id").alias("l_model"), F.col("dim").alias("l_dim")).agg(F.sum(F.log10("factor")).alias("l_sum"), F.count(F.lit(1)).alias("l_n"))
-    near = stated.where("si_value > 0").groupBy(F.col("entity_id").alias("n_entity"), F.col("dim").alias("n_dim")).agg(F.sum(F.log10("si_value")).alias("n_sum"), F.count(F.lit(1)).alias("n_n"))
-    base = stated.where("raw > 0 and unit_source <> 'text'").join(usual, "quantity_name", "left")
-    base = base.withColumn("want", F.coalesce("dim", F.lower("measure_type"), "usual_dim")).where(F.col("want").isin("length", "area", "volume"))
-    joined = base.join(level, F.col("source_model_id").eqNullSafe(F.col("l_model")) & (F.col("want") == F.col("l_dim")), "left").join(
-        near, (F.col("entity_id") == F.col("n_entity")) & (F.col("want") == F.col("n_dim")), "left"
+    wanted = rows.select("entity_id").distinct()
+    near = stated.where(positive).join(wanted, "entity_id", "left_semi").groupBy(F.col("entity_id").alias("n_entity"), F.col("dim").alias("n_dim")).agg(F.sum(F.log10("si_value")).alias("n_sum"), F.count(F.lit(1)).alias("n_n"))
+    joined = (
+        rows.join(usual, (F.col("quantity_name") == F.col("u_name")) & (F.col("want") == F.col("u_dim")), "left")
+        .join(level, F.col("source_model_id").eqNullSafe(F.col("l_model")) & (F.col("want") == F.col("l_dim")), "left")
+        .join(near, (F.col("entity_id") == F.col("n_entity")) & (F.col("want") == F.col("n_dim")), "left")
     )
-    labelled = F.col("factor").isNotNull()
-    less = F.when(labelled, 1).otherwise(0)  # a statement must not see itself
-    l_n, n_n = F.coalesce("l_n", F.lit(0)) - less, F.coalesce("n_n", F.lit(0)) - less
-    l_sum = F.coalesce("l_sum", F.lit(0.0)) - F.when(labelled, F.log10("factor")).otherwise(0.0)
-    n_sum = F.coalesce("n_sum", F.lit(0.0)) - F.when(labelled, F.log10("si_value")).otherwise(0.0)
+    own = F.when(F.col("labelled"), 1).otherwise(0)
+
+    def mean(total: str, n: str, value: Column) -> tuple[Column, Column]:
+        left = F.coalesce(n, F.lit(0)) - own
+        return F.when(left > 0, (F.coalesce(total, F.lit(0.0)) - F.when(F.col("labelled"), value).otherwise(0.0)) / left), left > 0
+
     mag = F.log10("raw")
+    expected, has_expected = mean("u_sum", "u_n", F.log10("si_value"))
+    source, has_source = mean("l_sum", "l_n", F.log10("factor"))
+    near_by, has_near = mean("n_sum", "n_n", F.log10("si_value"))
     return joined.select(
-        "entity_id", "source_model_id", "section", "set_name", "quantity_name", "raw", "want", "factor",
+        *KEYS, "labelled", "want", "factor",
         mag.alias("magnitude"),
-        F.when(l_n > 0, l_sum / l_n).otherwise(0.0).alias("source_level"),
-        (l_n > 0).cast("double").alias("source_known"),
-        F.coalesce(F.col("usual") - mag, F.lit(0.0)).alias("expected"),
-        F.col("usual").isNotNull().cast("double").alias("has_expected"),
+        F.coalesce(source, F.lit(0.0)).alias("source_level"),
+        has_source.cast("double").alias("source_known"),
+        F.coalesce(expected - mag, F.lit(0.0)).alias("expected"),
+        has_expected.cast("double").alias("has_expected"),
         (F.pmod(F.xxhash64(F.lower(F.coalesce("ifc_class", F.lit("")))), F.lit(32))).cast("double").alias("class_code"),
-        *((F.col("want") == d).cast("double").alias(f"is_{d}") for d in ("length", "area", "volume")),
-        F.when(n_n > 0, n_sum / n_n - mag).otherwise(0.0).alias("neighbour"),
-        (n_n > 0).cast("double").alias("has_neighbour"),
+        *((F.col("want") == d).cast("double").alias(f"is_{d}") for d in DIMS),
+        F.coalesce(near_by - mag, F.lit(0.0)).alias("neighbour"),
+        has_near.cast("double").alias("has_neighbour"),
     )
 
 
-def predict_units(stated: DataFrame, fit_rows: int = FIT_ROWS, confident: float = CONFIDENT) -> DataFrame:
-    """Statements without known unit, with the predicted factor, its calibrated probability and the decision.
+def _fitted(sample: pa.Table) -> tuple[forest.Forest, list[tuple[str, float]]] | None:
+    """(forest, (dimension, factor) of each class) from labelled rows; None if there are too few to fit and calibrate.
 
-    decision: ``converted`` (si_value is filled) or ``review``; ``review`` for all when nothing is labelled.
+    The rows of every second entity calibrate what those of the others have taught.
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
+    rows = sample.sort_by([(c, "ascending") for c in ("entity_id", "quantity_name", "section", "set_name", "raw")])
+    names = [(d, float(f"{f:.6e}")) for d, f in zip(rows.column("want").to_pylist(), rows.column("factor").to_pylist())]
+    units = sorted(set(names))
+    if len(units) < 2:
+        return None
+    code = {u: i for i, u in enumerate(units)}
+    y = np.array([code[n] for n in names])
+    x = np.stack([rows.column(f).to_numpy() for f in FEATURES], 1)
+    held = rows.column("held").to_numpy(zero_copy_only=False)
+    if held.all() or not held.any():
+        return None
+    model = forest.fit(x[~held], y[~held], len(units))
+    guess, score = _best(model, x[held], np.array([d for d, _ in units]), rows.column("want").to_numpy(zero_copy_only=False)[held])
+    model.calibrate(score, guess == y[held])
+    return model, units
+
+
+def _best(model: forest.Forest, x: np.ndarray, dims: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest class of the wanted dimension and its share."""
+    share = model.shares(x) * (dims[None, :] == want[:, None])
+    return share.argmax(1), share.max(1)
+
+
+def convert_units(stated: DataFrame, fit_rows: int = FIT_ROWS, confident: float = CONFIDENT) -> DataFrame:
+    """Every statement with its decision: ``known`` (declared unit), ``converted`` (predicted unit) or ``review``.
 
+    dim, factor and si_value are those of the declared or predicted unit, probability is 1 for declared ones. What
+    has no finite number above zero, or no dimension that its name or measure type tells, is for review with
+    probability 0, and so is all of unknown unit when nothing is labelled.
+    """
     spark = stated.sparkSession
-    rows = _features(stated)
-    open_rows = rows.where("factor is null")
-    labelled = rows.where("factor is not null").withColumn("unit", F.concat_ws(":", "want", F.format_string("%.6e", "factor")))
-    units = [r.unit for r in labelled.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "unit").limit(60).collect()]
-    out_cols = ["entity_id", "source_model_id", "section", "set_name", "quantity_name", "raw", F.col("want").alias("dim")]
-    nothing = open_rows.select(*out_cols, F.lit(None).cast("double").alias("predicted_factor"), F.lit(0.0).alias("probability"), F.lit("review").alias("decision"), F.lit(None).cast("double").alias("si_value"))
-    if len(units) < 2:
-        return nothing
-    code = F.create_map(*(x for i, u in enumerate(units) for x in (F.lit(u), F.lit(float(i)))))
-    chosen = labelled.where(F.col("unit").isin(units)).withColumn("label", code[F.col("unit")])
+    s = Scratch(spark, "units")
+    stated = s.cut(stated)
+    counts = stated.where("dim is not null").groupBy("quantity_name", "dim").agg(F.count(F.lit(1)).alias("n"))
+    usual = counts.groupBy(F.col("quantity_name").alias("d_name")).agg(F.max(F.struct("n", "dim"))["dim"].alias("usual_dim"))
+    known = stated.where("si_value is not null").select(*KEYS, "dim", "factor", "si_value", F.lit(1.0).alias("probability"), F.lit("known").alias("decision"))
+    unknown = stated.where("si_value is null").join(usual, F.col("quantity_name") == F.col("d_name"), "left").withColumn("want", F.coalesce("dim", F.lower("measure_type"), "usual_dim"))
+    fits = F.coalesce((F.col("raw") > 0) & F.col("want").isin(*DIMS) & (F.col("unit_source") == "none"), F.lit(False))
+    asked = s.cut(unknown.withColumn("fits", fits).select(*KEYS, "dim", "factor", "want", "fits", F.lit(None).cast("double").alias("si_value"), F.lit(False).alias("labelled")))
+    rest = asked.where("not fits").select(*KEYS, F.coalesce("dim", F.when(F.col("want").isin(*DIMS), F.col("want"))).alias("dim"), "factor", "si_value", F.lit(0.0).alias("probability"), F.lit("review").alias("decision"))
+    labelled = stated.where("si_value > 0 and raw > 0 and unit_source <> 'text' and factor > 0").select(*KEYS, "dim", "factor", F.col("dim").alias("want"), F.lit(True).alias("fits"), "si_value", F.lit(True).alias("labelled"))
     order = F.xxhash64("entity_id", "quantity_name", "set_name", "section")
-    sample = chosen.orderBy(order).limit(2 * fit_rows).withColumn("held", F.pmod(F.xxhash64("entity_id"), F.lit(2)))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    from trellisq.runtime import Scratch
-
-    sample = Scratch(spark, "units").cut(sample)
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=30, maxDepth=9, minInstancesPerNode=5, seed=7).fit(assembler.transform(sample.where("held = 0")))
-    top = F.array_max(vector_to_array("probability"))
-    scored = forest.transform(assembler.transform(sample.where("held = 1"))).select(top.alias("score"), (F.col("prediction") == F.col("label")).cast("double").alias("right"))
-    if not scored.take(1):
-        return nothing
-    iso = IsotonicRegression(featuresCol="score", labelCol="right").fit(scored)
-    factor = F.create_map(*(x for i, u in enumerate(units) for x in (F.lit(float(i)), F.lit(float(u.partition(":")[2])))))
-    unit_dim = F.create_map(*(x for i, u in enumerate(units) for x in (F.lit(float(i)), F.lit(u.partition(":")[0]))))
-    pred = forest.transform(assembler.transform(open_rows)).withColumn("score", top).withColumn("predicted_factor", factor[F.col("prediction")]).withColumn("p_dim", unit_dim[F.col("prediction")])
-    pred = iso.setPredictionCol("calibrated").transform(pred.drop("probability", "rawPrediction", "features"))
-    sure = (F.col("calibrated") >= confident) & (F.col("p_dim") == F.col("want"))
-    return pred.select(
-        *out_cols, "predicted_factor", F.col("calibrated").alias("probability"), F.when(sure, "converted").otherwise("review").alias("decision"), F.when(sure, F.col("raw") * F.col("predicted_factor")).alias("si_value")
-    )
+    sample = s.cut(labelled.orderBy(order, "raw").limit(2 * fit_rows))
+    rows = s.cut(_features(stated, asked.where("fits").unionByName(sample)))
+    taught = rows.where("labelled").withColumn("held", F.pmod(F.xxhash64("entity_id"), F.lit(2)) == 1).select("entity_id", "quantity_name", "section", "set_name", "raw", "want", "factor", "held", *FEATURES)
+    held = spark.sparkContext.broadcast(_fitted(taught.toArrow()))
+    names = known.columns
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            factor, p, sure = np.full(n, np.nan), np.zeros(n), np.zeros(n, bool)
+            if held.value is not None and n:
+                model, units = held.value
+                x = np.stack([b.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], 1)
+                best, score = _best(model, x, np.array([d for d, _ in units]), b.column("want").to_numpy(zero_copy_only=False))
+                factor = np.where(score > 0, np.array([f for _, f in units])[best], np.nan)
+                p = np.where(score > 0, model.probability(score), 0.0)
+                sure = (score > 0) & (p >= confident)
+            raw = b.column("raw").to_numpy(zero_copy_only=False)
+            cols = [b.column(c) for c in KEYS] + [b.column("want"), pa.array(factor, mask=np.isnan(factor)), pa.array(raw * factor, mask=~sure), pa.array(p), pa.array(np.where(sure, "converted", "review"))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    predicted = rows.where("not labelled").mapInArrow(predict, known.schema)
+    return s.finish(known.unionByName(predicted).unionByName(rest))
+
+
+def predict_units(stated: DataFrame, fit_rows: int = FIT_ROWS, confident: float = CONFIDENT) -> DataFrame:
+    """The statements without known unit, with the predicted factor, its calibrated probability and the decision.
+
+    decision: ``converted`` (si_value is filled) or ``review``; ``review`` for all when nothing is labelled.
+    """
+    rows = convert_units(stated, fit_rows, confident).where("decision <> 'known' and unit_source = 'none'")
+    return rows.select("entity_id", "source_model_id", "section", "set_name", "quantity_name", "raw", "dim", F.col("factor").alias("predicted_factor"), "probability", "decision", "si_value")
