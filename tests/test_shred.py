@@ -74,3 +74,43 @@ def test_long_and_empty(spark, entities):
     rows = entities([(1, "IfcWall", {"a": [{"b": [{"i": j} for j in range(3)]} for _ in range(5000)]})])
     assert shred_table(rows, "t", columns=False).where("in_array and is_object").count() == 20000
     assert shred_table(rows.where("false"), "t").count() == 0
+
+
+def test_keys_that_are_data(spark, entities):
+    """Sets and fields named by data share one table each, with the name as a column."""
+    rows = entities([(i, "IfcWall", {"property_sets": {f"set {i}": {f"field {i}": {"value": i, "type": "int"}, "plain": "x"}, "odd": [1]}, "measurements": {"Height": {"value": 2.5}}}) for i in range(50)])
+    assert schema_graph(rows).own >= {"property_sets{}", "property_sets{}{}", "measurements{}"} and len(schema_graph(rows).own) == 3
+    out = shred_table(rows, "ifc_entities")
+    got = {(r.node_id, r.parent_node_id): r.columns for r in out.where("record_id = 7 and table_name = 'property_sets{}{}'").collect()}
+    assert got == {("property_sets.set 7.field 7", "property_sets.set 7"): {"key": "field 7", "value": "7", "type": "int"}, ("property_sets.set 7.plain", "property_sets.set 7"): {"key": "plain", "value": "x"}}
+    assert flat_table(out, "measurements{}", {"key": "string", "value": "double"}).where("record_id = 3").first().value == 2.5
+
+
+def test_any_depth(spark, entities):
+    deep = "[" * 6000 + '{"a": "\\u00e4\\n", "b": [1, -2.5e3, true, null, {}]}' + "]" * 6000
+    value = _load(deep)
+    for _ in range(6000):
+        value = value[0]
+    assert value == {"a": "ä\n", "b": [1, -2500.0, True, None, {}]}
+    nested = '{"a":' * 5000 + "[{}]" + "}" * 5000
+    rows = entities([(1, "IfcWall", nested), (2, "IfcWall", "[" * 5000)])
+    assert [(r.record_id, r.json_path) for r in shred_table(rows, "t", columns=False).where("in_array and is_object").selectExpr("record_id", "length(node_id) as json_path").collect()] == [(1, 9999 + 3)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(tree)
+def test_reading_without_recursion(record):
+    from trellisq.operators.shred import _deep
+
+    text = json.dumps(record, indent=1)
+    assert _deep(text) == record
+    for cut in range(0, len(text) - 1, 7):
+        try:
+            want = json.loads(text[:cut])
+        except ValueError:
+            want = ValueError
+        try:
+            got = _deep(text[:cut])
+        except ValueError:
+            got = ValueError
+        assert got == want

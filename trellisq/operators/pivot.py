@@ -88,7 +88,10 @@ def read(value, data_type: str) -> str | None:
     if data_type == "string":
         if type(value) is str:
             return value.strip().casefold()
-        return json.dumps(value, ensure_ascii=False).casefold()
+        try:
+            return json.dumps(value, ensure_ascii=False).casefold()
+        except RecursionError:
+            return None
     if data_type == "boolean":
         if type(value) is bool:
             return "true" if value else "false"
@@ -178,7 +181,7 @@ def statements(entities: DataFrame, catalog: list[tuple[str, str, str]]) -> Data
                             canon = memo[k]
                         if (col, canon) not in seen:
                             seen.add((col, canon))
-                            for o, x in zip(out, (eid, col, canon is None, canon, value.strip() if type(value) is str else json.dumps(value))):
+                            for o, x in zip(out, (eid, col, canon is None, canon, value.strip() if type(value) is str else json.dumps(value) if canon is not None else None)):
                                 o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string()))], names=["entity_id", "col", "bad", "canon", "shown"])
 

@@ -5,27 +5,85 @@ singly or repeated. An element type gets a table of its own if it is repeated (i
 under several parent types) or recursive (its own ancestor); every other object is inlined into the row of
 its nearest ancestor with a table, as columns with dotted names. The second pass writes one row per element
 with a table: its node id (the JSON path), the node id of its parent row (the foreign key), its place in the
-array and its scalar columns.
+array and its scalar columns. Objects whose keys are data (``MAPS``) repeat their entries as arrays do: the entries
+of all of them have one table, named after the object with ``{}``, and the key is a column.
 
 Defined results: a null or unreadable text has no rows, nor has a record without id; a string that holds a JSON array or object, at any
 depth, stands for its content; null elements count for indexes; empty objects in arrays give rows without
-columns; a scalar in an array gives a row whose column is ``value``. Repeated keys: the last one counts.
+columns; a scalar in an array gives a row whose column is ``value``. Repeated keys: the last one counts. Records may
+be nested to any depth.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROOT = "$"
-#: Beyond so many schema edges (names made of data), nothing is inlined: every object has its row. No row is lost.
-MAX_EDGES = 200_000
+#: Objects whose keys are data. Fixed values of the record format.
+MAPS = frozenset({"property_sets", "property_sets{}", "quantity_sets", "quantity_sets{}", "measurements", "scalars", "endpoints"})
+_TOKEN = re.compile(r'\s*([{}\[\],:"]|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity)')
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
 
-_loads = json.loads
+
+def _loads(text: str):
+    """json.loads for texts of any depth."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+
+
+def _deep(text: str):
+    """Reads a JSON text without recursion."""
+    stack: list = []
+    key, at, want, out = None, 0, "value", None
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            if want == "end" and not text[at:].strip():
+                return out
+            raise ValueError("no JSON")
+        t, at = m[1], m.end()
+        if want in ("key", "first key") and t == '"':
+            key, at = scanstring(text, at)
+            m = _TOKEN.match(text, at)
+            if m is None or m[1] != ":":
+                raise ValueError("no JSON")
+            at, want = m.end(), "value"
+            continue
+        if (t == "}" and want in ("first key", "next") and type(stack[-1]) is dict) or (t == "]" and want in ("first value", "next") and type(stack[-1]) is list):
+            stack.pop()
+            want = "next" if stack else "end"
+            continue
+        if t == "," and want == "next":
+            want = "key" if type(stack[-1]) is dict else "value"
+            continue
+        if want not in ("value", "first value") or t in "}],:":
+            raise ValueError("no JSON")
+        if t == '"':
+            v, at = scanstring(text, at)
+        elif t in "{[":
+            v = {} if t == "{" else []
+        else:
+            v = _WORDS[t] if t in _WORDS else float(t) if any(c in ".eE" for c in t) else int(t)
+        if not stack:
+            out = v
+        elif type(stack[-1]) is dict:
+            stack[-1][key] = v
+        else:
+            stack[-1].append(v)
+        if t in "{[":
+            stack.append(v)
+            want = "first key" if t == "{" else "first value"
+        else:
+            want = "next" if stack else "end"
 
 
 def _load(text: str | None):
@@ -34,7 +92,7 @@ def _load(text: str | None):
         return None
     try:
         value = _loads(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
     return _inner(value) if type(value) is str else value
 
@@ -48,7 +106,7 @@ def _inner(text: str):
         return text
     try:
         value = _loads(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return text
     return value if type(value) in (dict, list) else text
 
@@ -64,10 +122,13 @@ def schema_edges(value, edges: set[tuple[str, str, bool]]) -> None:
                 v = _inner(v)
                 kind = type(v)
         if kind is dict:
+            entries = name in MAPS
             for k, x in v.items():
                 t = type(x)
+                if entries:
+                    k = name + "{}"
                 if t is dict:
-                    edges.add((name, k, False))
+                    edges.add((name, k, entries))
                     stack.append((name, k, x))
                 elif t is list or (t is str and (x[:1] in ("[", "{") or x[:1].isspace())):
                     stack.append((name, k, x))
@@ -85,6 +146,7 @@ class Inlining:
     """The tables that the schema graph calls for."""
 
     def __init__(self, edges: set[tuple[str, str, bool]], everything: bool = False):
+        """``everything`` gives each object a table of its own, whatever the graph calls for."""
         parents: dict[str, set[str]] = {}
         children: dict[str, set[str]] = {}
         self.own: set[str] = set()
@@ -126,23 +188,28 @@ def shred(value, plan: Inlining, columns: bool) -> list[tuple]:
     while stack:
         v, path, name, cols, node, prefix = stack.pop()
         if type(v) is dict:
+            entries = name in MAPS
             for k, x in v.items():
                 t = type(x)
                 if t is str and (x[:1] in ("[", "{") or x[:1].isspace()):
                     x = _inner(x)
                     t = type(x)
+                at = f"{path}.{k}" if path else k
+                kind = name + "{}" if entries else k
                 if t is dict:
-                    at = f"{path}.{k}" if path else k
-                    if plan.has_table(k):
-                        own = {} if columns else None
-                        out.append((k, at, node, None, False, True, own))
-                        stack.append((x, at, k, own, at, ""))
+                    if entries or plan.has_table(kind):
+                        own = ({"key": k} if entries else {}) if columns else None
+                        out.append((kind, at, node, None, False, True, own))
+                        stack.append((x, at, kind, own, at, ""))
                     else:
-                        stack.append((x, at, k, cols, node, f"{prefix}{k}."))
+                        stack.append((x, at, kind, cols, node, f"{prefix}{k}."))
                 elif t is list:
-                    stack.append((x, f"{path}.{k}" if path else k, k, cols, node, prefix))
+                    stack.append((x, at, kind, cols, node, prefix))
                 elif columns and x is not None:
-                    cols[prefix + k] = x if t is str else json.dumps(x)
+                    if entries:
+                        out.append((kind, at, node, None, False, False, {"key": k, "value": x if t is str else json.dumps(x)}))
+                    else:
+                        cols[prefix + k] = x if t is str else json.dumps(x)
         else:
             for i, x in enumerate(v):
                 t = type(x)
@@ -177,16 +244,8 @@ def _edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def schema_graph(records: DataFrame, json_col: str = "canonical_json") -> Inlining:
-    """The inlining plan of a table's JSON column; what comes to the driver is distinct names, not rows."""
-    edges = (
-        records.select(F.col(json_col).alias("j"))
-        .mapInArrow(_edges_of, "owner string, name string, repeated boolean")
-        .distinct()
-        .limit(MAX_EDGES + 1)
-        .collect()
-    )
-    if len(edges) > MAX_EDGES:
-        return Inlining(set(), everything=True)
+    """The inlining plan of a table's JSON column; what comes to the driver is the distinct names of its schema, not rows or keys that are data."""
+    edges = records.select(F.col(json_col).alias("j")).mapInArrow(_edges_of, "owner string, name string, repeated boolean").distinct().collect()
     return Inlining({(e.owner, e.name, e.repeated) for e in edges})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trellisq.operators import hierarchy, pivot, units
 from trellisq.operators.orphans import orphan_counts, orphan_references
-from trellisq.operators.shred import shred_table
+from trellisq.operators.shred import flat_table, shred_table
 from trellisq.sources import table
 
 
@@ -16,7 +16,7 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.contradictions(_stated(spark, d))
+    return units.contradictions(units.convert_units(_stated(spark, d)))
 
 
 def p1_converted(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,11 @@ def p1_converted(spark: SparkSession, d: str) -> DataFrame:
     return _stated(spark, d).where("si_value is not null").drop("measure_type")
 
 
+def p1_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """How many statements of each section have a declared, a predicted and no certain unit."""
+    return units.convert_units(_stated(spark, d)).groupBy("section", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p1_predicted(spark: SparkSession, d: str) -> DataFrame:
     """Values without known unit: the predicted unit with its probability, converted or routed for review."""
     return units.predict_units(_stated(spark, d))
@@ -56,6 +61,20 @@ def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1]).withColumn("columns", F.to_json("columns"))
 
 
+def _flat(spark: SparkSession, d: str, name: str, columns: dict[str, str]) -> DataFrame:
+    return flat_table(shred_table(table(spark, d, "ifc_entities"), "ifc_entities"), name, columns)
+
+
+def p3_properties(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of the fields of all property sets, with the key of the set that each belongs to."""
+    return _flat(spark, d, "property_sets{}{}", {"key": "string", "value": "string", "type": "string", "measure_type": "string", "unit_override_key": "string"}).drop("ordinal")
+
+
+def p3_materials(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of materials, with the place of each in its array."""
+    return _flat(spark, d, "materials", {"name": "string"})
+
+
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     catalog = pivot.catalog_rows(table(spark, d, "attribute_catalog"))
     return pivot.pivot(pivot.statements(table(spark, d, "ifc_entities"), catalog), catalog)
@@ -107,11 +126,14 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_converted": p1_converted,
     "p1_predicted": p1_predicted,
+    "p1_decisions": p1_decisions,
     "p2_found": p2_found,
     "p2_paths": p2_paths,
     "p2_descendants": p2_descendants,
     "p3_found": p3_found,
     "p3_tables": p3_tables,
+    "p3_properties": p3_properties,
+    "p3_materials": p3_materials,
     "p5_found": p5_found,
     "p5_wide": p5_wide,
     "p6_found": p6_found,
@@ -133,7 +155,28 @@ _ON_LOOP = """, on_loop as (
   select a.child as e, min(b.child) as loop_id from above a join above b on b.child = a.parent and b.parent = a.child group by 1
 )"""
 
+_NODES = """with recursive src as (
+  select 'ifc_entities' as source_table, id, canonical_json as j from ifc_entities where id is not null and json_valid(canonical_json)
+  union all select 'ifc_relationships', id, canonical_json from ifc_relationships where id is not null and json_valid(canonical_json)
+), node as (
+  select source_table, id, '' as path, cast(j as json) as v, false as element from src
+  union all
+  select n.source_table, n.id, case when json_type(n.v) = 'ARRAY' then n.path || '[' || c.key || ']' when n.path = '' then c.key else n.path || '.' || c.key end,
+    case when c.type = 'VARCHAR' and ltrim(c.value ->> '$', chr(32) || chr(9) || chr(10) || chr(13))[1] in ('[', '{') and json_valid(c.value ->> '$') then cast(c.value ->> '$' as json) else c.value end,
+    json_type(n.v) = 'ARRAY'
+  from node n, json_each(n.v) c where json_type(n.v) in ('ARRAY', 'OBJECT') and (c.type in ('ARRAY', 'OBJECT') or (c.type = 'VARCHAR' and ltrim(c.value ->> '$', chr(32) || chr(9) || chr(10) || chr(13))[1] in ('[', '{')))
+)
+"""
 ORACLES = {
+    "p3_found": _NODES + "select source_table, id as record_id, path as json_path from node where element and json_type(v) = 'OBJECT'",
+    "p3_materials": _NODES + """select id as record_id, path as node_id, '' as parent_node_id, cast(regexp_extract(path, '\\[(\\d+)\\]$', 1) as int) as ordinal, v ->> '$.name' as name
+from node where source_table = 'ifc_entities' and regexp_full_match(path, 'materials\\[\\d+\\]') and json_type(v) = 'OBJECT'""",
+    "p3_properties": """with s as (
+  select id, k, json_extract(canonical_json, '$.property_sets."' || k || '"') as v from (select id, canonical_json, unnest(json_keys(canonical_json, '$.property_sets')) as k from ifc_entities)
+), f as (
+  select id, k, f, json_extract(v, '$."' || f || '"') as v from (select id, k, v, unnest(json_keys(v)) as f from s where json_type(v) = 'OBJECT')
+) select id as record_id, 'property_sets.' || k || '.' || f as node_id, 'property_sets.' || k as parent_node_id, f as key, case when json_type(v, '$.value') not in ('ARRAY', 'OBJECT') then v ->> '$.value' end as value, v ->> '$.type' as type, v ->> '$.measure_type' as measure_type, v ->> '$.unit_override_key' as unit_override_key
+from f where json_type(v) = 'OBJECT'""",
     # No two entities of the test data are 64 links apart.
     "p2_descendants": _LINKS + """, down as (
   select parent as a, child as v, 1 as lev from links where parent <> child
