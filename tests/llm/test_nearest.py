@@ -76,6 +76,59 @@ def test_top_k(spark, list_rows):
     assert got[20][1][0] == 21
 
 
+def test_many_lists_in_levels(spark):
+    """80 lists and more, made in two levels: few rows are lost, none is in two homes, and equal rows end in one list."""
+    x = corpus(6, 2400)
+    x[100:400] = x[100]
+    df = frame(spark, x)
+    s = N.Scratch(spark, "t")
+    heads = s.cut(N.indexed_heads(df, DIM, N.F.lit(True)))
+    places = N.in_lists(heads, DIM, s, N.PROBES, list_rows=20, fan=8)
+    home = places.where("nth = 0 and source_model_id = 1 and embedding_model = 'm'")
+    sizes = {r.cell: r["count"] for r in home.groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == 2400 and len(sizes) >= 80 and sorted(sizes.values())[-2] <= 150
+    assert home.where("id between 100 and 399").select("cell").distinct().count() == 1
+    assert places.groupBy("id", "source_model_id", "embedding_model", "cell").count().where("count > 1").count() == 0
+    want = pairs_of(x, 0.92)
+    got = {(r.id_a, r.id_b) for r in N._exact(df, _pairs_in(places), 0.92, DIM).collect()}
+    assert len(got & want) >= 0.95 * len(want) and got <= want
+
+
+def _pairs_in(places):
+    a = places.selectExpr("id as a", "source_model_id", "embedding_model", "cell")
+    b = places.where("nth = 0").selectExpr("id as b", "source_model_id", "embedding_model", "cell")
+    return a.join(b, ["source_model_id", "embedding_model", "cell"]).where("a <> b").selectExpr("least(a, b) as id_a", "greatest(a, b) as id_b").distinct()
+
+
+def test_recall_on_real_vectors(spark):
+    """Lists of 20 rows: some 50 of them in the largest group of sf0.1, so that probing may lose rows."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/rag_documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test data")
+    t = pq.read_table(path, columns=["id", "source_model_id", "embedding_model", "embedding"]).to_pandas()
+    t = t[(t.source_model_id == 17) & t.embedding.map(lambda v: v is not None and len(v) == 1024 and any(v))]
+    model = t.embedding_model.mode()[0]
+    t = t[t.embedding_model == model]
+    x = np.stack(t.embedding.to_numpy())
+    ids = t.id.to_numpy()
+    s = similarities(x)
+    df = spark.read.parquet(path).where(f"source_model_id = 17 and embedding_model = '{model}'")
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in np.argwhere(np.triu(s, 1) >= 0.92)}
+    got = {(r.id_a, r.id_b) for r in N.similar_pairs(df, list_rows=20).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    np.fill_diagonal(s, -9)
+    place = {v: i for i, v in enumerate(ids)}
+    near: dict = {}
+    for r in N.most_similar(df, 10, "id % 20 = 0", list_rows=20).collect():
+        near.setdefault(r.query_id, set()).add(r.neighbour_id)
+    hits = [len(n & set(ids[np.argsort(-s[place[q]], kind="stable")[:10]])) / 10 for q, n in near.items()]
+    assert len(hits) > 20 and np.mean(hits) >= 0.95, np.mean(hits)
+
+
 def test_empty_and_alone(spark):
     df = frame(spark, corpus(4, 30)[:1])
     assert N.similar_pairs(df, 0.92, DIM).count() == 0
