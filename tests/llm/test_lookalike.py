@@ -62,3 +62,14 @@ def test_pairs(spark):
     assert L.lookalike_pairs(df.where("false")).count() == 0
     many = spark.range(20000).selectExpr("id as doc_id", "'the same text' as text").union(spark.sql("select 99999L, 'the same text'"))
     assert L.lookalike_pairs(many).count() == 20000
+
+
+def test_classes_and_many_copies(spark):
+    """A look with two spellings and many copies: a class row for each document, and pairs between spellings only."""
+    rows = [(i, "caf\u00e9") for i in range(300)] + [(1000, "cafe\u0301"), (1001, "cafe\u0301"), (2000, "other"), (2001, None), (2002, "  "), (2003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in L.lookalike_classes(df).collect()}
+    assert len(got) == 303 and got[5] == (0, 0, 2, 302) and got[1001] == (0, 1000, 2, 302) and got[2000] == (2000, 2000, 1, 1)
+    pairs = {(r.doc_id_a, r.doc_id_b) for r in L.lookalike_pairs(df).collect()}
+    assert pairs == {(i, j) for i in range(300) for j in (1000, 1001)}
+    assert L.lookalike_classes(df.where("false")).count() == 0

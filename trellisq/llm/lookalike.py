@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellisq.runtime import Scratch
+
 #: Letters of other scripts and the Latin letters of the same shape. Fixed values.
 SAME_SHAPE = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -212,16 +214,39 @@ def with_form(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, text string, form string")
 
 
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id with the digests of form (look) and text (spelling) of each document that is not blank."""
+    forms = with_form(docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")), id_col, text_col)
+    return forms.where("doc_id is not null and form rlike '\\\\S'").select("doc_id", F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("spelling"))
+
+
 def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b) of documents that look the same but differ in at least one code point.
 
-    Only digests are shuffled. Looks with one spelling are left out by a partial aggregate before the join, so
-    groups of mere copies, however large, never meet each other.
+    Only digests are shuffled. Looks with one spelling are left out by a partial aggregate. The spellings of a look
+    meet first, one row each, and only then the documents that have them, so copies of one text never meet each other.
     """
-    forms = with_form(docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")), id_col, text_col)
-    digests = forms.where("doc_id is not null and form rlike '\\\\S'").select("doc_id", F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("spelling"))
+    s = Scratch(docs.sparkSession, "lookalike")
+    digests = s.cut(_digests(docs, id_col, text_col))
     several = digests.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("look")
-    kept = digests.join(several, "look", "left_semi")
-    x, y = kept.alias("x"), kept.alias("y")
-    on = (F.col("x.look") == F.col("y.look")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.spelling") != F.col("y.spelling"))
-    return x.join(y, on).select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"))
+    kept = s.cut(digests.join(several, "look", "left_semi"))
+    one = kept.select("look", "spelling").distinct()
+    x, y = one.select("look", F.col("spelling").alias("x")), one.select("look", F.col("spelling").alias("y"))
+    both = x.join(y, "look").where("x < y").drop("look")
+    left, right = kept.select(F.col("spelling").alias("x"), F.col("doc_id").alias("a")), kept.select(F.col("spelling").alias("y"), F.col("doc_id").alias("b"))
+    pairs = both.join(left, "x").join(right, "y")
+    return s.finish(pairs.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct())
+
+
+def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, look_id, spelling_id, n_spellings, n_documents) of every document that is not blank.
+
+    look_id is the smallest document that looks the same, spelling_id the smallest with the same text: classes with
+    membership, in which copies, however many, cost a row each.
+    """
+    s = Scratch(docs.sparkSession, "looks")
+    digests = s.cut(_digests(docs, id_col, text_col))
+    spelled = digests.groupBy("look", "spelling").agg(F.min("doc_id").alias("spelling_id"), F.count(F.lit(1)).alias("n"))
+    looks = spelled.groupBy("look").agg(F.min("spelling_id").alias("look_id"), F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_documents"))
+    known = spelled.join(looks, "look").select("look", "spelling", "look_id", "spelling_id", "n_spellings", "n_documents")
+    return s.finish(digests.join(known, ["look", "spelling"]).select("doc_id", "look_id", "spelling_id", "n_spellings", "n_documents"))

@@ -41,7 +41,12 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_form(table(spark, d, "documents")).select("doc_id", "form")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_nearest": p7_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the class of those that look the same."""
+    return lookalike.lookalike_classes(table(spark, d, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_nearest": p7_nearest, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
 
 ORACLES = {
     "p7_found": """
