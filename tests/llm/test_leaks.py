@@ -52,12 +52,12 @@ def test_against_brute_force(spark):
     assert K.leaked_items(d, e.where("false")).count() == 0 and K.leaked_items(d.where("false"), e).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
+def test_blocks_of_items(spark):
     docs, items = make(5)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     e = spark.createDataFrame(items, "item_id long, passage string")
-    monkeypatch.setattr(K, "BLOCK_ITEMS", 3)
-    assert {(r.doc_id, r.item_id) for r in K.leaked_items(d, e).collect()} == brute(docs, items)
+    assert len(list(K._blocks(e, 600))) > 3
+    assert {(r.doc_id, r.item_id) for r in K.leaked_items(d, e, block_bytes=600).collect()} == brute(docs, items)
 
 
 def test_forms():

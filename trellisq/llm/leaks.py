@@ -7,8 +7,9 @@ patterns by their suffix block, and direct comparison confirms an occurrence.
 
 Defined results: null or empty texts and passages with fewer words than ``min_words`` never match; an item
 whose passage occurs several times in a document gives one row; equal passages are reported for each item;
-texts of any length are searched whole. The evaluation set is held by every task: it is split into blocks of
-``BLOCK_ITEMS`` items, one search each, so its size only adds passes.
+texts of any length are searched whole. The patterns of a search are held by every task: the evaluation set is
+read in blocks of ``BLOCK_BYTES`` of passages, one search each, so that neither the driver nor a task ever holds
+more than one block and one passage. A set of up to that size, some 10,000 passages, costs one pass.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from trellisq.llm.lookalike import SAME_SHAPE, SIZE, consistent_forms
 
 MIN_WORDS = 12
-BLOCK_ITEMS = 20_000
+#: Bytes of passages whose patterns are searched for at once: what is broadcast is about twelve times as much.
+BLOCK_BYTES = 8_000_000
 BLOCK = 8
 TABLE_BITS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -157,14 +159,27 @@ def passage_patterns(items: list[tuple[int, str | None]], min_words: int = MIN_W
     return {p: tuple(sorted(x)) for p, x in patterns.items()}
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
+    """The passages in blocks of about size bytes, read one partition at a time."""
+    block: list[tuple[int, str]] = []
+    used = 0
+    for r in items.select("item_id", "passage").where("item_id is not null and passage is not null").toLocalIterator():
+        block.append((r.item_id, r.passage))
+        used += len(r.passage)
+        if used >= size:
+            yield block
+            block, used = [], 0
+    if block:
+        yield block
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id) of each document that holds min_words consecutive words of the item's passage."""
     spark = docs.sparkSession
-    rows = [(r.item_id, r.passage) for r in items.select("item_id", "passage").where("item_id is not null and passage is not null").collect()]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     result = spark.createDataFrame([], "doc_id long, item_id long")
-    for start in range(0, len(rows), BLOCK_ITEMS):
-        patterns = passage_patterns(rows[start : start + BLOCK_ITEMS], min_words)
+    for block in _blocks(items, block_bytes):
+        patterns = passage_patterns(block, min_words)
         if not patterns:
             continue
         held, name = spark.sparkContext.broadcast(patterns), uuid.uuid4().hex
