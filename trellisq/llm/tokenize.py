@@ -13,7 +13,9 @@ row.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The vocabulary's own pattern. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A vocabulary file that is broadcast has this size at most.
+VOCABULARY_BYTES = 64_000_000
 MEMO = 400_000
 MEMO_CHARS = 64
 
@@ -44,14 +48,19 @@ class PrefixEncoder:
     _held: dict[str, PrefixEncoder] = {}
 
     @classmethod
-    def get(cls, path: str) -> PrefixEncoder:
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def get(cls, held) -> PrefixEncoder:
+        """The encoder of a broadcast vocabulary file (digest, bytes), built once in each process."""
+        name, data = held.value
+        if name not in cls._held:
+            cls._held[name] = cls(data)
+        return cls._held[name]
+
+    def __init__(self, source: str | bytes):
+        """From a vocabulary file or its bytes."""
+        if isinstance(source, str):
+            with open(source, "rb") as f:
+                source = f.read()
+        model = json.loads(source)["model"]
         letters = byte_letters()
         vocab = model["vocab"]
         # A string of latin letters stands for bytes, as the automaton works on strings.
@@ -143,10 +152,15 @@ class PrefixEncoder:
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) of every document."""
+    """(doc_id, ids) of every document. The driver reads the vocabulary (a few MB) and broadcasts it, so executors need no file."""
+    if os.path.getsize(vocabulary) > VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of more than {VOCABULARY_BYTES} bytes")
+    with open(vocabulary, "rb") as f:
+        data = f.read()
+    held = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), data))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixEncoder.get(vocabulary)
+        encoder = PrefixEncoder.get(held)
         for b in batches:
             for start in range(0, b.num_rows, 1000):
                 part = b.slice(start, 1000)
