@@ -83,3 +83,15 @@ def test_split_texts(spark):
     assert C.split_texts(df.where("false")).count() == 0
     with pytest.raises(ValueError):
         C.pieces(long, 100, 60, 10)
+
+
+def test_pieces_start_at_no_mark():
+    text = "".join("e" + "\u0301" * 6 for _ in range(1500))
+    text = text[:9000]
+    cuts = C.pieces(text)
+    assert len(cuts) > 3 and all(unicodedata.category(text[a])[0] != "M" for a, _ in cuts)
+    assert all(100 <= z - a <= 150 for (_, z), (a, _) in zip(cuts, cuts[1:]))
+
+
+def test_stems():
+    assert C.stem("walls") == C.stem("wall") and C.stem("heizungen") == C.stem("heizung") and C.stem("des") == "des"

@@ -29,8 +29,6 @@ OVERLAP = 150
 SLACK = 50
 #: Sentences or lines in the block on each side of a joint.
 BLOCK_UNITS = 4
-#: Units longer than this are parted at commas and semicolons too.
-LONG_UNIT = 600
 
 _RUN = re.compile(r"[ \t\r\n]+")
 _JOINT = re.compile(r"\n|(?<=[.!?…;])[\"'»”’)\]]*[ ]|(?<=[。！？])")
@@ -42,29 +40,44 @@ def squeeze(text: str) -> str:
     return _RUN.sub(lambda m: "\n" if "\n" in m[0] or "\r" in m[0] else " ", text).strip(" \n")
 
 
-def _units(text: str) -> list[int]:
-    """Ends of the sentences or lines of a text; the last one is its length."""
+def _units(text: str, long_unit: int) -> list[int]:
+    """Ends of the sentences or lines of a text; the last one is its length. Longer units are parted at commas too."""
     ends: list[int] = []
     start = 0
     for m in [*_JOINT.finditer(text), None]:
         end = m.end() if m else len(text)
         if end <= start:
             continue
-        if end - start > LONG_UNIT:
+        if end - start > long_unit:
             ends += [x.end() for x in _MINOR.finditer(text, start, end) if start < x.end() < end]
         ends.append(end)
         start = end
     return ends
 
 
+#: Endings that a word loses, longest first, so that its forms count as one term. Fixed values, of the corpus' languages.
+ENDINGS = (
+    "ements", "ations", "ungen", "ement", "ation", "mente", "iones", "ments", "heit", "keit", "lich", "ment", "ción", "ings", "ung", "ing", "ent", "ons", "ers", "ern", "est", "eur",
+    "és", "ée", "es", "en", "er", "em", "ed", "ly", "os", "as", "ar", "ir", "re", "e", "s", "n", "a", "o", "i",
+)
+
+
+def stem(word: str) -> str:
+    """The word without its longest known ending, but with three letters at least."""
+    for end in ENDINGS:
+        if len(word) >= len(end) + 3 and word.endswith(end):
+            return word[: -len(end)]
+    return word
+
+
 def _terms(part: str) -> Counter:
     """Stems of the words of a unit; letters two by two where words are not set apart."""
     out: Counter = Counter()
     for w in _WORD.findall(part):
         if w[0] >= "぀" and not w.isdigit():
             out.update(w[i : i + 2] for i in range(max(1, len(w) - 1)))
-        elif w.isalpha() and len(w) > 2:
-            out[w.casefold()[:6]] += 1
+        elif w.isalpha():
+            out[stem(w.casefold())] += 1
     return out
 
 
@@ -127,12 +140,14 @@ def _at_word(text: str, low: int, high: int) -> int | None:
     return None
 
 
+def _parted(text: str, i: int) -> bool:
+    """Whether a cut at i parts a sign from its marks."""
+    return i < len(text) and (unicodedata.category(text[i])[0] == "M" or text[i] == "\u200d" or text[i - 1] == "\u200d")
+
+
 def _loose(text: str, low: int, high: int) -> int:
     """The last place in (low, high] that doesn't part a sign from its marks; high if there is none."""
-    for i in range(high, low, -1):
-        if i >= len(text) or not (unicodedata.category(text[i])[0] == "M" or text[i] == "‍" or text[i - 1] == "‍"):
-            return i
-    return high
+    return next((i for i in range(high, low, -1) if not _parted(text, i)), high)
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> list[tuple[int, int]]:
@@ -141,7 +156,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = S
         return []
     if not 0 <= slack <= overlap < limit // 2:
         raise ValueError("overlap must be less than half the limit and slack at most the overlap")
-    ends = _units(text)
+    # A unit must leave room for a joint in the second half of a window.
+    ends = _units(text, limit // 2)
     starts = [0, *ends[:-1]]
     depth = valley_depths(cohesion([_terms(text[a:b]) for a, b in zip(starts, ends)])) if len(ends) > 1 else []
     out: list[tuple[int, int]] = []
@@ -166,12 +182,13 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = S
 
 
 def _resume(text: str, end: int, overlap: int, slack: int) -> int:
-    """Where the next piece starts: overlap characters before end, or at the first word within slack after that."""
+    """Where the next piece starts: overlap characters before end, or at the first word within slack after that, else at the first sign that is no mark."""
     first = end - overlap
-    for i in range(first, min(first + slack, end) + 1):
+    last = min(first + slack, end)
+    for i in range(first, last + 1):
         if text[i - 1] in " \n":
             return i
-    return first
+    return next((i for i in range(first, last + 1) if not _parted(text, i)), first)
 
 
 def split_texts(docs: DataFrame, id_col: str = "id", text_col: str = "document_text", limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> DataFrame:
