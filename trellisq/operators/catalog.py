@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellisq.model import DEFAULT_LIMIT, Op
+from trellisq.model import DEFAULT_LIMIT, Op, PlanError
 from trellisq.operators.predicate import compile_catalog
 
 
@@ -44,7 +44,11 @@ def rank_by_entities(cat: DataFrame, entities: DataFrame, limit: int = DEFAULT_L
 
 
 def metadata(cat: DataFrame, model: int) -> DataFrame:
-    return cat.where(F.col("source_model_id") == model)
+    """The model's row; a missing model is an error."""
+    row = cat.where(F.col("source_model_id") == model)
+    if not row.take(1):
+        raise PlanError(f"no model {model}")
+    return row
 
 
 def describe(cat: DataFrame) -> DataFrame:
@@ -57,3 +61,13 @@ def describe(cat: DataFrame) -> DataFrame:
 def current_conflicts(cat: DataFrame) -> DataFrame:
     """Families with several current versions."""
     return cat.where("is_current and family_key is not null").groupBy("family_key").agg(F.count(F.lit(1)).alias("n_current")).where("n_current > 1")
+
+
+def selector_models(cat: DataFrame) -> DataFrame:
+    """What a chooser of models shows, by id: no paths and no records."""
+    return cat.select("source_model_id", F.col("file_fingerprint").alias("source_fingerprint"), F.col("entry_name").alias("display_name"), "status").orderBy("source_model_id")
+
+
+def asset_identity(cat: DataFrame, model: int) -> DataFrame:
+    """Identity that an asset request needs; no row if the model does not exist."""
+    return cat.where(F.col("source_model_id") == model).select("source_model_id", F.col("file_fingerprint").alias("source_fingerprint"), "status")

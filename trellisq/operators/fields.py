@@ -145,3 +145,37 @@ def schema_catalog(fields: DataFrame, per_set: int | None = 500) -> DataFrame:
         return g
     w = Window.partitionBy("source_model_id", "section", "set_name").orderBy("field_name")
     return g.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_set).drop("rn")
+
+
+def resolve_names(names: DataFrame, summary: DataFrame, model: int) -> DataFrame:
+    """item_id, section, set_name, field_name, n_entities, rung and n_matches: every field of a model that a name means.
+
+    names: item_id, name and optionally section and set_name, which narrow the search. A name matches exactly, else
+    when letter case and signs are ignored; exact matches leave no others. n_matches above 1 is an ambiguity, which
+    the caller decides; nothing is chosen silently.
+    """
+    fold = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    asked = names.select("item_id", F.col("name").alias("asked"), *(F.col(c).alias(f"a_{c}") if c in names.columns else F.lit(None).cast("string").alias(f"a_{c}") for c in ("section", "set_name")))
+    s = summary.where(F.col("source_model_id") == model)
+    narrowed = (F.col("a_section").isNull() | (F.col("a_section") == F.col("section"))) & (F.col("a_set_name").isNull() | (F.col("a_set_name") == F.col("set_name")))
+    met = asked.withColumn("key", fold(F.col("asked"))).join(s.withColumn("key", fold(F.col("field_name"))), "key").where(narrowed & (F.col("key") != ""))
+    from pyspark.sql import Window
+
+    exact = F.col("asked") == F.col("field_name")
+    best = F.max(exact).over(Window.partitionBy("item_id"))
+    kept = met.withColumn("exact", exact).withColumn("best", best).where("exact or not best")
+    return kept.withColumn("n_matches", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).select("item_id", "section", "set_name", "field_name", "n_entities", F.when(F.col("exact"), "exact").otherwise("folded").alias("rung"), "n_matches")
+
+
+def resolve_field(summary: DataFrame, model: int, ref: FieldRef) -> FieldRef:
+    """The field as the model has it; a missing one, or a quantity in several sets without one named, is a plan error."""
+    if ref.kind in (FieldKind.ATTRIBUTE, FieldKind.TYPE_FACT):
+        path_of(ref)
+        return ref
+    section = {FieldKind.PROPERTY: "property_sets", FieldKind.QUANTITY: "quantity_sets", FieldKind.MEASUREMENT: "measurements"}[ref.kind]
+    if ref.kind is FieldKind.QUANTITY and ref.set_name is None:
+        return resolve_dimension(summary, model, ref.name)
+    rows = summary.where((F.col("source_model_id") == model) & (F.col("section") == section) & (F.col("field_name") == ref.name) & F.col("set_name").eqNullSafe(ref.set_name))
+    if not rows.take(1):
+        raise PlanError(f"no {section} field {ref.set_name or ''} {ref.name} in model {model}")
+    return ref

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellisq.model import MAX_HOPS, PlanError
+from trellisq.model import MAX_HOPS, MAX_LIMIT, PlanError
 from trellisq.runtime import Scratch
 
 #: Relationship class, semantic role, relating roles, related roles. Fixed values.
@@ -27,6 +27,7 @@ REGISTRY = (
 )
 MAX_SEEDS = 50
 MAX_TOPOLOGY_HOPS = 2000
+MAX_CONTEXT = 200
 NODES, EDGES = (4, 24), 40
 HOP = ["depth", "relationship_id", "rel_class", "semantic_role", "direction", "from_id", "from_role", "to_id", "to_role"]
 
@@ -131,7 +132,46 @@ def presentable(nodes: int, edges: int, hops: int) -> str:
     return "graph" if NODES[0] <= nodes <= NODES[1] and edges <= EDGES and hops <= MAX_TOPOLOGY_HOPS else "table"
 
 
-def relationship_members(members: DataFrame, relationship_id: int) -> DataFrame:
+def get_relationship(relationships: DataFrame, model: int, relationship_id: int | None = None, global_id: str | None = None) -> DataFrame:
+    """One relationship by id, or those of a global id (re-imports repeat it)."""
+    if (relationship_id is None) == (global_id is None):
+        raise PlanError("exactly one of id and global_id")
+    rows = relationships.where(F.col("source_model_id") == model)
+    return rows.where(F.col("id") == relationship_id) if relationship_id is not None else rows.where(F.col("global_id") == global_id)
+
+
+def list_relationships(relationships: DataFrame, model: int, classes: tuple[str, ...] = (), limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of relationships by name, nulls last, then id."""
+    if not 1 <= limit <= MAX_LIMIT or offset < 0:
+        raise PlanError(f"limit 1 to {MAX_LIMIT}, offset from 0")
+    rows = relationships.where(F.col("source_model_id") == model)
+    if classes:
+        rows = rows.where(F.col("ifc_class").isin(list(classes)))
+    return rows.orderBy(F.col("name").asc_nulls_last(), "id").offset(offset).limit(limit)
+
+
+def hydrated(primary: DataFrame, hops: DataFrame, entities: DataFrame, model: int, cap: int = MAX_CONTEXT) -> DataFrame:
+    """part (primary or context), id, global_id, ifc_class and name of a walk: the entities it was about and those met, the smallest ids of them."""
+    from trellisq.operators.entities import hydrate
+
+    known = hydrate(entities.where(F.col("source_model_id") == model)).select("id", "global_id", "ifc_class", "name")
+    met = hops.select(F.col("to_id").alias("id")).union(hops.select("from_id")).distinct().join(primary.select("id"), "id", "left_anti").orderBy("id").limit(cap)
+    first = known.join(primary.select("id").distinct(), "id", "left_semi").withColumn("part", F.lit("primary"))
+    return first.unionByName(known.join(met, "id", "left_semi").withColumn("part", F.lit("context"))).select("part", "id", "global_id", "ifc_class", "name")
+
+
+def retained(hops: DataFrame, seeds: DataFrame, accepted: DataFrame, cap: int = MAX_TOPOLOGY_HOPS) -> tuple[DataFrame, bool]:
+    """(hops whose ends both are seeds or accepted, whether there were too many to keep any)."""
+    if hops.limit(cap + 1).count() > cap:
+        return hops.where(F.lit(False)), True
+    keep = seeds.select("id").union(accepted.select("id")).distinct()
+    return hops.join(keep.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(keep.select(F.col("id").alias("to_id")), "to_id", "left_semi"), False
+
+
+def relationship_members(members: DataFrame, relationship_id: int, relationships: DataFrame | None = None) -> DataFrame:
+    """The members in order; with the relationships given, a missing one is an error."""
+    if relationships is not None and not relationships.where(F.col("id") == relationship_id).take(1):
+        raise PlanError(f"no relationship {relationship_id}")
     return members.where(F.col("relationship_id") == relationship_id).orderBy("role", F.col("member_order").asc_nulls_last(), "id")
 
 

@@ -195,14 +195,14 @@ def _fitted(sample: pa.Table) -> tuple[forest.Forest, list[tuple[str, float]]] |
 
     The rows of every second entity calibrate what those of the others have taught.
     """
-    rows = sample.sort_by([(c, "ascending") for c in ("entity_id", "quantity_name", "section", "set_name", "raw")])
+    rows = sample.sort_by([("place", "ascending"), ("magnitude", "ascending")])
     names = [(d, float(f"{f:.6e}")) for d, f in zip(rows.column("want").to_pylist(), rows.column("factor").to_pylist())]
     units = sorted(set(names))
     if len(units) < 2:
         return None
     code = {u: i for i, u in enumerate(units)}
     y = np.array([code[n] for n in names])
-    x = np.stack([rows.column(f).to_numpy() for f in FEATURES], 1)
+    x = np.stack([rows.column(f).to_numpy() for f in FEATURES], 1).astype(np.float64)
     held = rows.column("held").to_numpy(zero_copy_only=False)
     if held.all() or not held.any():
         return None
@@ -239,7 +239,7 @@ def convert_units(stated: DataFrame, fit_rows: int = FIT_ROWS, confident: float
     order = F.xxhash64("entity_id", "quantity_name", "set_name", "section")
     sample = s.cut(labelled.orderBy(order, "raw").limit(2 * fit_rows))
     rows = s.cut(_features(stated, asked.where("fits").unionByName(sample)))
-    taught = rows.where("labelled").withColumn("held", F.pmod(F.xxhash64("entity_id"), F.lit(2)) == 1).select("entity_id", "quantity_name", "section", "set_name", "raw", "want", "factor", "held", *FEATURES)
+    taught = rows.where("labelled").select(order.alias("place"), "want", "factor", (F.pmod(F.xxhash64("entity_id"), F.lit(2)) == 1).alias("held"), *(F.col(f).cast("float").alias(f) for f in FEATURES))
     held = spark.sparkContext.broadcast(_fitted(taught.toArrow()))
     names = known.columns
 
@@ -249,7 +249,7 @@ def convert_units(stated: DataFrame, fit_rows: int = FIT_ROWS, confident: float
             factor, p, sure = np.full(n, np.nan), np.zeros(n), np.zeros(n, bool)
             if held.value is not None and n:
                 model, units = held.value
-                x = np.stack([b.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], 1)
+                x = np.stack([b.column(f).to_numpy(zero_copy_only=False).astype(np.float32) for f in FEATURES], 1).astype(np.float64)
                 best, score = _best(model, x, np.array([d for d, _ in units]), b.column("want").to_numpy(zero_copy_only=False))
                 factor = np.where(score > 0, np.array([f for _, f in units])[best], np.nan)
                 p = np.where(score > 0, model.probability(score), 0.0)

@@ -251,7 +251,8 @@ def execute(part: Part, ctx: Context) -> Result:
     modes = MODES.get(part.operation, ("sql",))
     if blocked := preflight(pred):
         return Result(part.part_id, part.operation, blocked[0], blocked[1], 0 if blocked[0] is Status.ZERO else None, notes=pred.notes, modes=())
-    rows = matching(ctx.entities, pred.scope, pred.tree).persist()
+    # Only what the parts of an answer read is held, not whole rows.
+    rows = matching(ctx.entities, pred.scope, pred.tree).select("id", "source_model_id", "global_id", "ifc_class", "step_id", "canonical_json").persist()
     try:
         breakdown = {r.ifc_class: r.n for r in E.count_by_class(rows).collect()}  # one row a class
         total = sum(breakdown.values())
