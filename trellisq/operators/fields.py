@@ -92,13 +92,14 @@ def entity_fields(entities: DataFrame) -> DataFrame:
     """
     view = entities.select(F.col("id").alias("entity_id"), "source_model_id", "ifc_class", F.try_parse_json("canonical_json").alias("v"))
     part = lambda col, path: F.try_variant_get(col, path, "string")
-    parts = []
-    for section in ("property_sets", "quantity_sets"):
-        sets = _explode(view.withColumn("s", F.try_variant_get("v", f"$.{section}", "variant")).drop("v"), "s", "set_name", "o")
-        parts.append(_explode(sets, "o", "field_name", "f").withColumn("section", F.lit(section)))
-    flat = _explode(view.withColumn("s", F.try_variant_get("v", "$.measurements", "variant")).drop("v"), "s", "field_name", "f")
-    parts.append(flat.withColumn("set_name", F.lit(None).cast("string")).withColumn("section", F.lit("measurements")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    get = lambda section: F.try_variant_get("v", f"$.{section}", "variant")
+    members = lambda c: F.map_entries(F.try_variant_get(c, "$", "map<string,variant>"))
+    none = "array<struct<section:string,set_name:string,o:variant>>"
+    # One parse and one pass: the sets of both sections and the measurements, which lie in no set, in one array.
+    of_sets = lambda section: F.coalesce(F.transform(members(get(section)), lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("set_name"), e["value"].alias("o"))), F.array().cast(none))
+    flat = F.array(F.struct(F.lit("measurements").alias("section"), F.lit(None).cast("string").alias("set_name"), get("measurements").alias("o")))
+    sets = view.select("entity_id", "source_model_id", "ifc_class", F.inline(F.concat(of_sets("property_sets"), of_sets("quantity_sets"), flat)))
+    rows = sets.select("entity_id", "source_model_id", "ifc_class", "section", "set_name", F.explode(F.try_variant_get("o", "$", "map<string,variant>")).alias("field_name", "f"))
     value = F.try_variant_get("f", "$.value", "variant")
     return rows.select(
         "source_model_id",
@@ -114,13 +115,6 @@ def entity_fields(entities: DataFrame) -> DataFrame:
     )
 
 
-def _explode(df: DataFrame, col: str, key: str, value: str) -> DataFrame:
-    """Rows of the keys of a variant object."""
-    kept = df.where(F.schema_of_variant(col).startswith("OBJECT"))
-    out = kept.lateralJoin(kept.sparkSession.tvf.variant_explode(F.col(col).outer()).select(F.col("key").alias(key), F.col("value").alias(value)))
-    return out.drop(col)
-
-
 def field_summary(fields: DataFrame) -> DataFrame:
     """Which field is in which set, in how many entities: the lookup table of the resolver."""
     return fields.groupBy("source_model_id", "section", "set_name", "field_name").agg(F.countDistinct("entity_id").alias("n_entities"))

@@ -45,35 +45,56 @@ def registry(spark, classes: tuple[str, ...] | None = None) -> tuple[DataFrame,
     return spark.createDataFrame(rows, "rel_class string, semantic_role string, direction string, from_key string, to_key string"), unknown
 
 
-def expand(frontier: DataFrame, members: DataFrame, relationships: DataFrame, model: int, reg: DataFrame, direction: str = "both") -> DataFrame:
-    """One hop from each entity of the frontier (one column, id). The registry is of fixed size."""
-    if direction not in ("both", "outgoing", "incoming"):
-        raise PlanError(f"no direction {direction}")
-    reg = reg if direction == "both" else reg.where(F.col("direction") == direction)
-    own = members.where((F.col("source_model_id") == model) & F.col("entity_id").isNotNull()).select("id", "relationship_id", "role", "entity_id")
-    f = own.select(F.col("relationship_id"), F.col("id").alias("f_member"), F.col("role").alias("from_role"), F.col("entity_id").alias("from_id")).join(frontier.select(F.col("id").alias("from_id")), "from_id")
+def members_of(members: DataFrame, relationships: DataFrame, model: int) -> DataFrame:
+    """The ends that a walk through a model can use: relationship_id, rel_class, member, role and entity_id."""
+    own = members.where((F.col("source_model_id") == model) & F.col("entity_id").isNotNull()).select("relationship_id", F.col("id").alias("member"), "role", "entity_id")
     r = relationships.where(F.col("source_model_id") == model).select(F.col("id").alias("relationship_id"), F.col("ifc_class").alias("rel_class"))
-    t = own.select("relationship_id", F.col("id").alias("t_member"), F.col("role").alias("to_role"), F.col("entity_id").alias("to_id"))
-    started = f.join(r, "relationship_id").join(F.broadcast(reg), (F.lower("from_role") == F.col("from_key")) & (reg["rel_class"] == r["rel_class"])).drop(reg["rel_class"])
+    return own.join(r, "relationship_id")
+
+
+def _step(frontier: DataFrame, ends: DataFrame, reg: DataFrame) -> DataFrame:
+    """One hop from each entity of the frontier over the rows of ``members_of``. The registry is of fixed size."""
+    f = ends.select("relationship_id", "rel_class", F.col("member").alias("f_member"), F.col("role").alias("from_role"), F.col("entity_id").alias("from_id")).join(frontier.select(F.col("id").alias("from_id")), "from_id")
+    t = ends.select("relationship_id", F.col("member").alias("t_member"), F.col("role").alias("to_role"), F.col("entity_id").alias("to_id"))
+    started = f.join(F.broadcast(reg.withColumnRenamed("rel_class", "reg_class")), (F.lower("from_role") == F.col("from_key")) & (F.col("rel_class") == F.col("reg_class")))
     hops = started.join(t, "relationship_id").where((F.lower("to_role") == F.col("to_key")) & (F.col("f_member") != F.col("t_member")) & (F.col("from_id") != F.col("to_id")))
     return hops.select("relationship_id", "rel_class", "semantic_role", "direction", "from_id", "from_role", "to_id", "to_role").distinct()
 
 
+def _ways(reg: DataFrame, direction: str) -> DataFrame:
+    if direction not in ("both", "outgoing", "incoming"):
+        raise PlanError(f"no direction {direction}")
+    return reg if direction == "both" else reg.where(F.col("direction") == direction)
+
+
+def expand(frontier: DataFrame, members: DataFrame, relationships: DataFrame, model: int, reg: DataFrame, direction: str = "both") -> DataFrame:
+    """One hop from each entity of the frontier (one column, id)."""
+    return _step(frontier, members_of(members, relationships, model), _ways(reg, direction))
+
+
 def traverse(seeds: DataFrame, members: DataFrame, relationships: DataFrame, model: int, depth: int, classes: tuple[str, ...] | None = None, direction: str = "both") -> tuple[DataFrame, list[str]]:
-    """All hops of a breadth-first walk; entities reached before are not expanded again. Unknown classes are warned of."""
+    """All hops of a breadth-first walk; entities reached before are not expanded again. Unknown classes are warned of.
+
+    The model's ends are read once; a level is cut when a further one follows from it.
+    """
     if not 0 <= depth <= MAX_HOPS:
         raise PlanError(f"depth 0 to {MAX_HOPS}")
     spark = seeds.sparkSession
     s = Scratch(spark, "traverse")
     reg, unknown = registry(spark, classes)
-    frontier = s.cut(seeds.select("id").where("id is not null").distinct())
+    reg = _ways(reg, direction)
+    frontier = seeds.select("id").where("id is not null").distinct()
+    ends = members_of(members, relationships, model)
+    if depth > 1:
+        frontier, ends = s.cut(frontier), s.cut(ends)
     visited, hops = frontier, None
     for level in range(1, depth + 1):
-        step = s.cut(expand(frontier, members, relationships, model, reg, direction).withColumn("depth", F.lit(level)).select(*HOP))
+        step = _step(frontier, ends, reg).withColumn("depth", F.lit(level)).select(*HOP)
+        if depth > 1:
+            step = s.cut(step)
         hops = step if hops is None else hops.unionByName(step)
-        if level < depth:
-            frontier = s.cut(step.select(F.col("to_id").alias("id")).distinct().join(visited, "id", "left_anti"))
-            visited = s.cut(visited.unionByName(frontier))
+        frontier = step.select(F.col("to_id").alias("id")).distinct().join(visited, "id", "left_anti")
+        visited = visited.union(step.select("to_id"))
     if hops is None:
         hops = spark.createDataFrame([], "depth int, relationship_id long, rel_class string, semantic_role string, direction string, from_id long, from_role string, to_id long, to_role string")
     return hops, [f"relationship class {c} is not supported" for c in unknown]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisq.runtime import Scratch
+
 MIN_OCCURRENCES = 2
 CATEGORICAL_VALUES, PER_FIELD = 15, 8
 ENUMERATED = 200
@@ -144,7 +148,8 @@ def unit_tables(models: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fair_trim(rows: DataFrame, buckets: list[str], order: list[Column], cap: int) -> DataFrame:
     """At most cap rows, taken in turn from each bucket: first all firsts, then all seconds."""
     nth = F.row_number().over(Window.partitionBy(*buckets).orderBy(*order))
-    return rows.withColumn("turn", nth).orderBy("turn", *buckets).limit(cap)
+    # No bucket gives more than cap rows; the bound lets each task drop the rest of a large bucket before it is shuffled.
+    return rows.withColumn("turn", nth).where(F.col("turn") <= cap).orderBy("turn", *buckets).limit(cap)
 
 
 def reliable_structure(members: DataFrame, entities: DataFrame) -> DataFrame:
@@ -164,12 +169,18 @@ def building_profile(entities: DataFrame, families: int = 12, categories: int =
 def nearest_rank(rows: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """Percentiles by nearest rank, at index round(f * (n - 1)) of the sorted values.
 
-    Values are counted first; the running total is over distinct values.
+    Values are counted first; the counts are sorted by ranges, and a range knows its start from the totals of those
+    before it, one number a range.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.withColumn("upto", upto)
-    total = counts.agg(F.sum("n").alias("total"))
-    asks = rows.sparkSession.createDataFrame([(f,) for f in fractions], "fraction double").crossJoin(total).withColumn("at", F.round(F.col("fraction") * (F.col("total") - 1)).cast("long") + 1)  # one row each
-    hit = asks.join(run, (F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("n")))
-    return hit.select("fraction", F.col(value).alias("value"))
+    s = Scratch(rows.sparkSession, "ranks")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    run = s.cut(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in run.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row a range
+        before[r.part], total = total, total + r.n
+    asks = rows.sparkSession.createDataFrame([(f, int(math.floor(f * (total - 1) + 0.5)) + 1) for f in fractions] if total else [], "fraction double, at long")
+    start = F.create_map(*(F.lit(x).cast("long") if i else F.lit(x) for kv in before.items() for i, x in enumerate(kv))) if before else F.lit(None)
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = run.withColumn("upto", upto + (start[F.col("part")] if before else F.lit(0)))
+    hit = placed.join(F.broadcast(asks), (F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("n")))  # a row for each fraction asked for
+    return hit.select("fraction", "value")
