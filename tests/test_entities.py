@@ -104,3 +104,12 @@ def test_injection_is_text(entities):
     rows = entities(named("a"))
     assert rows.where(compile_tree(Condition(NAME, Op.EQ, "' or 1=1 --"))).count() == 0
     assert rows.where(compile_tree(Condition(NAME, Op.IN, ("x') or ('1'='1",)))).agg(F.count("*")).first()[0] == 0
+
+
+def test_large_scopes_are_joined(spark, entities):
+    from trellisq.operators.predicate import in_scope
+
+    rows = entities([(i, "IfcWall", {}) for i in range(5)])
+    big = in_scope(rows, Scope(1, ids=tuple(range(3, 3000))))
+    assert {r.id for r in big.collect()} == {3, 4} and big.columns == rows.columns
+    assert {r.id for r in in_scope(rows, Scope(1, ids=(2,))).collect()} == {2}

@@ -56,7 +56,12 @@ def in_scope(rows: DataFrame, scope: Scope) -> DataFrame:
     if scope.classes:
         out = out.where(F.col("ifc_class").isin(list(scope.classes)))
     if scope.ids is not None:
-        out = out.where(F.col("id").isin(list(scope.ids))) if scope.ids else out.where(F.lit(False))
+        if not scope.ids:
+            return out.where(F.lit(False))
+        if len(scope.ids) <= MAX_LITERALS:
+            return out.where(F.col("id").isin(list(scope.ids)))
+        ids = rows.sparkSession.createDataFrame([(i,) for i in set(scope.ids)], "id long")
+        out = out.join(ids, "id", "left_semi").select(rows.columns)
     return out
 
 
@@ -66,6 +71,8 @@ def matching(rows: DataFrame, scope: Scope, where: Condition | Group | None = No
     return out if within is None else out.join(within.select("id").distinct(), "id", "left_semi")
 
 
+#: Ids of a scope that are written into the predicate; more of them are joined.
+MAX_LITERALS = 1000
 CATALOG_COLUMNS = ("display_name", "version_label", "project_type", "discipline", "status", "family_key", "ifc_schema")
 CATALOG_OPS = {Op.EQ, Op.EXACT, Op.NE, Op.CI_EXACT, Op.CONTAINS, Op.IN, Op.NOT_IN}
 

@@ -85,7 +85,19 @@ ALLOWED = {
     Role.RELATIONSHIP: {"bound_relationship", "bound_condition", "redundant_with", "ambiguous", "unavailable"},
 }
 _ROLE_OF = {Kind.PREVIOUS: Role.SCOPE, Kind.SELECTION: Role.SCOPE, Kind.SCOPE: Role.SCOPE}
-_STOP = set("a an and any are as at be by can do does each every for from give has have how i in is it list many me much of on or please show some tell that the their there they to was were what when where which who with you your count number all there's".split())
+#: English function words by kind, and the words that merely ask; they carry no item of their own.
+_STOP = {
+    word
+    for kind in (
+        "a an the",  # articles
+        "any each every all many much some",  # quantities that are not figures
+        "i me you your it they them their there there's which who what where when how that",  # pronouns and question words
+        "am is are was were be been can could do does did has have had will would",  # auxiliaries
+        "as at by for from in of on to with and or",  # prepositions and conjunctions
+        "please show list give tell count number",  # requests
+    )
+    for word in kind.split()
+}
 _RELATION = {"connected", "contain", "contains", "contained", "bounded", "adjacent", "related", "linked", "inside"}
 
 

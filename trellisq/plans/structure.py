@@ -13,7 +13,9 @@ from trellisq.operators import graph as G
 from trellisq.operators import profile as P
 from trellisq.operators import spatial as S
 from trellisq.operators import vectors as V
+from trellisq.runtime import Scratch
 from trellisq.sources import ingest, table
+from trellisq.streaming import incremental
 
 MODEL = 17
 QUERIES: dict = {}
@@ -468,3 +470,22 @@ _add(
     lambda s, d: _t(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total")),
     "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2",
 )
+
+
+def _streamed(s: SparkSession, d: str, make) -> DataFrame:
+    scratch = Scratch(s, "stream")
+    return incremental.into_table(make(incremental.event_stream(s, d, "events.parquet")), f"{scratch.root}/out", f"{scratch.root}/checkpoint")
+
+
+_add(
+    "stream_event_hours",
+    lambda s, d: _streamed(s, d, incremental.windowed_counts).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total")),
+    ORACLES["event_hours"],
+)
+_add(
+    "stream_sessions",
+    lambda s, d: _streamed(s, d, incremental.sessions).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n"),
+    """with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+g as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from o)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from g group by user_id, k""",
+)

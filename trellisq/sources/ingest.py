@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellisq.runtime import _path
+
 PROFILE_VERSION = 1
 
 
@@ -83,13 +85,28 @@ def content_hash(document: dict) -> str:
     return hashlib.sha256(json.dumps(document, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
-def write_profile(profile: dict, path: str) -> str:
-    """A profile as a JSON file with its hash, put in place by a rename. Returns the hash."""
+def write_profile(profile: dict, path: str, spark: SparkSession | None = None) -> str:
+    """A profile as a JSON file with its hash, put in place by a rename. Returns the hash.
+
+    With a session the path is one of its file systems (a shared folder of a cluster), else a local one.
+    """
     body = {"version": PROFILE_VERSION, **profile}
     digest = content_hash(body)
-    tmp = f"{path}.tmp-{os.getpid()}"
+    text = json.dumps({**body, "content_hash": digest}, sort_keys=True, ensure_ascii=False)
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    if spark is not None:
+        place, fs = _path(spark, path)
+        new, _ = _path(spark, tmp)
+        out = fs.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        fs.delete(place, False)
+        if not fs.rename(new, place):
+            raise OSError(f"{path} could not be put in place")
+        return digest
     with open(tmp, "w", encoding="utf-8") as f:
-        json.dump({**body, "content_hash": digest}, f, sort_keys=True, ensure_ascii=False)
+        f.write(text)
         f.flush()
         os.fsync(f.fileno())
     os.replace(tmp, path)

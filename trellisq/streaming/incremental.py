@@ -10,9 +10,9 @@ from trellisq.runtime import exists
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Files of events as a stream."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """Files of events in a folder, those whose name fits, as a stream."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 4).option("pathGlobFilter", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -45,3 +45,19 @@ def classify_batches(records: DataFrame, state_path: str, keys: list[str], out_p
         prior.join(hashed, [prior[k].eqNullSafe(hashed[k]) for k in keys], "left_anti").unionByName(hashed).write.mode("overwrite").parquet(f"{state_path}/{epoch}")
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def into_table(stream: DataFrame, path: str, checkpoint: str, seconds: int = 600) -> DataFrame:
+    """Runs a stream over all that is there; each batch writes the whole result anew, so a repeated batch changes nothing."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream took more than {seconds} s")
+    last = query.lastProgress
+    if last is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{last['batchId']}")
