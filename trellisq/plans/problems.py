@@ -167,7 +167,36 @@ _NODES = """with recursive src as (
   from node n, json_each(n.v) c where json_type(n.v) in ('ARRAY', 'OBJECT') and (c.type in ('ARRAY', 'OBJECT') or (c.type = 'VARCHAR' and ltrim(c.value ->> '$', chr(32) || chr(9) || chr(10) || chr(13))[1] in ('[', '{')))
 )
 """
+_READ = r"""
+with c as (
+  select distinct lower(trim(ifc_class)) as cls, attribute, data_type, lower(regexp_replace(attribute, '[\s_]', '', 'g')) as k from attribute_catalog
+), s as (
+  select id, lower(trim(ifc_class)) as cls, sn, json_extract(canonical_json, '$.property_sets."' || sn || '"') as o from (select id, ifc_class, canonical_json, unnest(json_keys(canonical_json, '$.property_sets')) as sn from ifc_entities where id is not null)
+), f as (
+  select id, cls, lower(regexp_replace(fn, '[\s_]', '', 'g')) as k, json_extract(o, '$."' || fn || '".value') as j from (select id, cls, o, unnest(json_keys(o)) as fn from s where json_type(o) = 'OBJECT')
+), v as (
+  select f.id, attribute, data_type, json_type(j) as jt, trim(j ->> '$', chr(32) || chr(9) || chr(10) || chr(13)) as t
+  from f join c using (cls, k) where json_type(j) <> 'NULL' and trim(j ->> '$', chr(32) || chr(9) || chr(10) || chr(13)) <> ''
+), d as (
+  select *, case when jt in ('ARRAY', 'OBJECT') and data_type <> 'string' then null
+    when data_type = 'string' then lower(t)
+    when data_type = 'boolean' then case when lower(t) in ('true', 't', '.t.', '.true.', 'yes', 'y', '1', '1.0', 'ja', 'j', 'wahr', 'oui', 'o', 'vrai') then 'true' when lower(t) in ('false', 'f', '.f.', '.false.', 'no', 'n', '0', '0.0', 'nein', 'falsch', 'non', 'faux') then 'false' end
+    when jt = 'BOOLEAN' then null
+    when data_type in ('int', 'double') then case when regexp_full_match(t, '[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?') then
+      case when data_type = 'double' then cast(try_cast(replace(t, ',', '.') as double) as varchar) when try_cast(replace(t, ',', '.') as double) = floor(try_cast(replace(t, ',', '.') as double)) then cast(try_cast(replace(t, ',', '.') as double) as varchar) end end
+    when data_type = 'date' then cast(case
+      when regexp_full_match(t, '\d{4}[-/.]\d{1,2}[-/.]\d{1,2}([T ].*)?') then try_cast(regexp_replace(t, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2}).*$', '\1-\2-\3') as date)
+      when regexp_full_match(t, '\d{1,2}\.\d{1,2}\.\d{4}([T ].*)?') then try_cast(regexp_replace(t, '^(\d{1,2})\.(\d{1,2})\.(\d{4}).*$', '\3-\2-\1') as date)
+      when regexp_full_match(t, '\d{1,2}/\d{1,2}/\d{4}([T ].*)?') then case
+        when try_cast(regexp_replace(t, '^(\d{1,2})/(\d{1,2})/(\d{4}).*$', '\3-\2-\1') as date) is null then try_cast(regexp_replace(t, '^(\d{1,2})/(\d{1,2})/(\d{4}).*$', '\3-\1-\2') as date)
+        when try_cast(regexp_replace(t, '^(\d{1,2})/(\d{1,2})/(\d{4}).*$', '\3-\1-\2') as date) is null or split_part(t, '/', 1) = split_part(t, '/', 2) then try_cast(regexp_replace(t, '^(\d{1,2})/(\d{1,2})/(\d{4}).*$', '\3-\2-\1') as date) end
+      when regexp_full_match(t, '\d{8}') then try_cast(substr(t, 1, 4) || '-' || substr(t, 5, 2) || '-' || substr(t, 7) as date) end as varchar) end as canon
+  from v
+)
+"""
+
 ORACLES = {
+    "p5_found": _READ + "select id as entity_id, attribute from d group by 1, 2 having bool_or(canon is null) or count(distinct canon) > 1",
     "p3_found": _NODES + "select source_table, id as record_id, path as json_path from node where element and json_type(v) = 'OBJECT'",
     "p3_materials": _NODES + """select id as record_id, path as node_id, '' as parent_node_id, cast(regexp_extract(path, '\\[(\\d+)\\]$', 1) as int) as ordinal, v ->> '$.name' as name
 from node where source_table = 'ifc_entities' and regexp_full_match(path, 'materials\\[\\d+\\]') and json_type(v) = 'OBJECT'""",

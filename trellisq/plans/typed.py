@@ -206,4 +206,3 @@ _add(
     lambda s, d: FL.field_summary(FL.entity_fields(_ents(s, d)).where("section = 'measurements'")).drop("set_name"),
     "select source_model_id, 'measurements' as section, k as field_name, count(distinct id) as n_entities from (select source_model_id, id, unnest(json_keys(canonical_json, '$.measurements')) as k from ifc_entities) group by 1, 2, 3",
 )
-_add("entity_details", lambda s, d: E.details(_ents(s, d), MODEL, "2H_lRmEQgaUOJXBRoQsBHR"), None)
