@@ -14,6 +14,7 @@ read; repeated texts each have their own pieces; the length of a text is not bou
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -62,6 +63,7 @@ ENDINGS = (
 )
 
 
+@functools.lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """The word without its longest known ending, but with three letters at least."""
     for end in ENDINGS:
