@@ -378,10 +378,11 @@ _add(
 select case when p.text_hash is not distinct from n.text_hash and p.source_hash is not distinct from n.source_hash then 'unchanged' else 'changed' end as state, count(*) as n from r p join r n on n.e = p.e and n.x = p.x and n.z = 1 where p.a = 1 group by 1""",
 )
 
+#: An object's display rows; numbers are shown without a fraction of zero.
 _GID = "2H_lRmEQgaUOJXBRoQsBHR"
 QUERIES["entity_details"] = lambda s, d: E.details(_t(s, d, "ifc_entities"), MODEL, _GID)
 ORACLES["entity_details"] = _ALL_FIELDS + f""", e as (select id, canonical_json from ifc_entities where source_model_id = {MODEL} and global_id = '{_GID}'),
-o as (select section, set_name, field_name, left(value, 120) as value, cast(row_number() over (partition by section order by set_name, field_name) as int) as nth from f where value <> '' and entity_id in (select id from e)),
+o as (select section, set_name, field_name, case when kind in ('DOUBLE', 'BIGINT', 'UBIGINT') then regexp_replace(value, '\\.0+$', '') else left(value, 120) end as value, cast(row_number() over (partition by section order by set_name, field_name) as int) as nth from f where value <> '' and entity_id in (select id from e)),
 m as (select list_distinct(list_transform(from_json(json_extract_string(canonical_json, '$.materials'), '["json"]'), lambda x: x ->> '$.name')) as names from e),
 u as (select unnest(names[:12]) as value, unnest(range(1, least(len(names), 12) + 1)) as nth from m)
 select * from o where nth <= 24 union all select 'materials', null, 'name', left(value, 120), cast(nth as int) from u"""
