@@ -43,7 +43,7 @@ def _cond(op: Op, value=None, field: FieldRef = NAME, **more) -> B.BoundConditio
     return B.BoundCondition("c1", field, op, value, source="question", **more)
 
 
-_add("answer_count", lambda s, d: _state(s, _run(s, d, B.Operation.COUNT)[0]).select("status", "total"), f"select 'exact' as status, count(*) as total {WALLS}")
+_add("answer_count", lambda s, d: _state(s, _run(s, d, B.Operation.COUNT)[0]).select("status", "total"), f"select case when count(*) = 0 then 'zero' else 'exact' end as status, count(*) as total {WALLS}")
 _add("answer_existence", lambda s, d: _state(s, _run(s, d, B.Operation.EXISTENCE, _cond(Op.EXACT, "no such wall"))[0]).select("status", "total"), f"select 'zero' as status, count(*) as total {WALLS} and json_extract_string(canonical_json, '$.identity.name') = 'no such wall'")
 _add("answer_absent_kind", lambda s, d: _state(s, _run(s, d, B.Operation.COUNT, classes=())[0]).select("status", "total"), "select 'zero' as status, 0 as total")
 _add(
