@@ -363,19 +363,26 @@ def _embedded(s: SparkSession, d: str) -> DataFrame:
 _add("doc_embed", _embedded, "select 64 as dim, cast(1.0 as double) as norm, count(*) as n from ifc_entities where json_valid(canonical_json)")
 
 
+#: Between the first and the last import of the test data.
+_DAY = "2024-06-01"
+
+
 def _generations(s: SparkSession, d: str) -> DataFrame:
-    """Two real states: descriptions as first made, and as last made, by what they describe."""
+    """Two real states of the descriptions, by what they describe: as of a day, and as of now."""
     docs = _t(s, d, "rag_documents").where("generation_timestamp is not null")
-    key = [F.coalesce("entity_id", F.lit(-1)).alias("entity"), F.coalesce("relationship_id", F.lit(-1)).alias("relationship")]
-    state = lambda pick: docs.groupBy(*key).agg(*(pick(c, F.struct("generation_timestamp", "id")).alias(c) for c in ("text_hash", "source_hash")))
-    return D.classify_changes(state(F.min_by), state(F.max_by), ["entity", "relationship"], ["text_hash", "source_hash"]).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    last = lambda rows: rows.groupBy(F.coalesce("entity_id", F.lit(-1)).alias("entity"), F.coalesce("relationship_id", F.lit(-1)).alias("relationship")).agg(
+        *(F.max_by(c, F.struct("generation_timestamp", "id")).alias(c) for c in ("text_hash", "source_hash"))
+    )
+    prior = last(docs.where(f"generation_timestamp < timestamp_ntz'{_DAY}'"))
+    return D.classify_changes(prior, last(docs), ["entity", "relationship"], ["text_hash", "source_hash"]).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 _add(
-    "doc_generations_classify",
+    "doc_incremental_classify",
     _generations,
-    """with r as (select coalesce(entity_id, -1) as e, coalesce(relationship_id, -1) as x, text_hash, source_hash, row_number() over (partition by entity_id, relationship_id order by generation_timestamp, id) as a, row_number() over (partition by entity_id, relationship_id order by generation_timestamp desc, id desc) as z from rag_documents where generation_timestamp is not null)
-select case when p.text_hash is not distinct from n.text_hash and p.source_hash is not distinct from n.source_hash then 'unchanged' else 'changed' end as state, count(*) as n from r p join r n on n.e = p.e and n.x = p.x and n.z = 1 where p.a = 1 group by 1""",
+    f"""with r as (select coalesce(entity_id, -1) as e, coalesce(relationship_id, -1) as x, text_hash, source_hash, generation_timestamp as t, id from rag_documents where generation_timestamp is not null),
+n as (select * from r qualify row_number() over (partition by e, x order by t desc, id desc) = 1), p as (select * from r where t < timestamp '{_DAY}' qualify row_number() over (partition by e, x order by t desc, id desc) = 1)
+select case when p.id is null then 'new' when p.text_hash is not distinct from n.text_hash and p.source_hash is not distinct from n.source_hash then 'unchanged' else 'changed' end as state, count(*) as n from n left join p on p.e = n.e and p.x = n.x group by 1""",
 )
 
 #: An object's display rows; numbers are shown without a fraction of zero.

@@ -122,23 +122,14 @@ _add(
 )
 
 
-def _unresolved(s: SparkSession, d: str) -> DataFrame:
-    rels = _t(s, d, "ifc_relationships").where(f"source_model_id = {MODEL}").select("id")
-    return G.expand_relationships(rels, _t(s, d, "relationship_members"), _t(s, d, "ifc_entities"))[1]
-
-
-_add(
-    "unresolved_endpoints",
-    _unresolved,
-    f"select m.id, m.relationship_id, m.role, m.endpoint_global_id from relationship_members m where m.relationship_id in (select id from ifc_relationships where source_model_id = {MODEL}) and not exists (select 1 from ifc_entities e where e.id = m.entity_id)",
-)
-
 _add(
     "unresolved_endpoints_all",
     lambda s, d: G.expand_relationships(_t(s, d, "ifc_relationships").select("id"), _t(s, d, "relationship_members"), _t(s, d, "ifc_entities"))[1],
     "select m.id, m.relationship_id, m.role, m.endpoint_global_id from relationship_members m where m.relationship_id in (select id from ifc_relationships) and not exists (select 1 from ifc_entities e where e.id = m.entity_id)",
 )
 
+_add("unresolved_endpoints", QUERIES["unresolved_endpoints_all"], ORACLES["unresolved_endpoints_all"])
+
 # --- sets of ids
 _RELATED = "select distinct entity_id from relationship_members where entity_id is not null"
 
@@ -253,7 +244,7 @@ _add(
 )
 
 # --- profiles
-_FIELDS = """
+_SET_FIELDS = """
 with sets as (
   select source_model_id, id, ifc_class, sec as section, unnest(json_keys(canonical_json, '$.' || sec)) as set_name, canonical_json
   from ifc_entities, (values ('property_sets'), ('quantity_sets')) v(sec)
@@ -269,12 +260,8 @@ with sets as (
 )"""
 
 
-def _fields(s: SparkSession, d: str) -> DataFrame:
-    return FL.entity_fields(_t(s, d, "ifc_entities")).where("section <> 'measurements'")
-
-
 #: The same with the measurements, which lie in no set.
-_ALL_FIELDS = _FIELDS.replace("\n), f as (", "\n), in_sets as (") + """, flat as (
+_ALL_FIELDS = _SET_FIELDS.replace("\n), f as (", "\n), in_sets as (") + """, flat as (
   select source_model_id, id as entity_id, ifc_class, 'measurements' as section, cast(null as varchar) as set_name, unnest(json_keys(canonical_json, '$.measurements')) as field_name, canonical_json from ifc_entities
 ), f as (
   select * from in_sets union all
@@ -285,10 +272,16 @@ _ALL_FIELDS = _FIELDS.replace("\n), f as (", "\n), in_sets as (") + """, flat as
 )"""
 
 
+_FIELDS = _ALL_FIELDS
+
+
 def _all_fields(s: SparkSession, d: str) -> DataFrame:
     return FL.entity_fields(_t(s, d, "ifc_entities"))
 
 
+_fields = _all_fields
+
+
 def _schema(s: SparkSession, d: str) -> DataFrame:
     """Sets and fields of all sections, and the classes of entities and relationships as sections of their own."""
     none = F.lit(None).cast("string").alias("set_name")
@@ -303,6 +296,7 @@ _add(
 union all select source_model_id, 'entity_classes', null, ifc_class, count(distinct id), count(distinct ifc_class) from ifc_entities group by 1, 4
 union all select source_model_id, 'relationship_classes', null, ifc_class, count(distinct id), count(distinct ifc_class) from ifc_relationships group by 1, 4""",
 )
+_add("schema_catalog", QUERIES["schema_catalog_all"], ORACLES["schema_catalog_all"])
 _add(
     "profile_class_counts",
     lambda s, d: P.class_counts(_t(s, d, "ifc_entities")),
@@ -331,7 +325,7 @@ _add(
 _add(
     "container_shape_verdict",
     lambda s, d: P.container_shapes(_fields(s, d)).withColumn("schema_ratio", F.round("schema_ratio", 4)),
-    _FIELDS + ", g as (select section, set_name, count(distinct field_name) as n_fields, count(distinct entity_id) as n_entities, count(*) as n_instances from f group by 1, 2) select *, round(n_fields / (n_instances / n_entities), 4) as schema_ratio, not (n_fields >= 64 and n_fields / (n_instances / n_entities) >= 8) as reliable from g",
+    _FIELDS + ", g as (select section, set_name, count(distinct field_name) as n_fields, count(distinct entity_id) as n_entities, count(*) as n_instances from f where set_name is not null group by 1, 2) select *, round(n_fields / (n_instances / n_entities), 4) as schema_ratio, not (n_fields >= 64 and n_fields / (n_instances / n_entities) >= 8) as reliable from g",
 )
 
 
@@ -415,18 +409,6 @@ _add("doc_relationship_text", lambda s, d: D.relationship_documents(_t(s, d, "if
 _add("doc_hash", lambda s, d: _t(s, d, "rag_documents").select("id", F.sha2("document_text", 256).alias("text_hash")), "select id, sha256(document_text) as text_hash from rag_documents")
 
 
-def _changes(s: SparkSession, d: str) -> DataFrame:
-    now = _t(s, d, "rag_documents").select("id", "text_hash", "source_hash")
-    key = F.pmod("id", F.lit(10))
-    prior = now.where(key != 1).withColumn("text_hash", F.when(key == 2, F.lit("old")).otherwise(F.col("text_hash")))
-    return D.classify_changes(prior, now.where(key != 3), ["id"], ["text_hash", "source_hash"]).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-
-
-_add(
-    "doc_incremental_classify",
-    _changes,
-    "select case id % 10 when 1 then 'new' when 3 then 'removed' when 2 then 'changed' else 'unchanged' end as state, count(*) as n from rag_documents group by 1",
-)
 _add(
     "doc_to_embed",
     lambda s, d: D.to_embed(_t(s, d, "rag_documents"), _t(s, d, "rag_documents"), 1024, ["id"]).select("id"),

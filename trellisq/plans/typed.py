@@ -201,8 +201,3 @@ _add(
     f"select source_model_id, concat_ws(' — ', display_name || ' (id ' || source_model_id || ')', nullif(version_label, ''), case when is_current then 'current version' end, status, ifc_schema) as line from ({_CAT})",
 )
 _add("catalog_current_conflicts", lambda s, d: C.current_conflicts(_cat(s, d)), f"select family_key, count(*) as n_current from ({_CAT}) where is_current and family_key is not null group by 1 having count(*) > 1")
-_add(
-    "schema_catalog",
-    lambda s, d: FL.field_summary(FL.entity_fields(_ents(s, d)).where("section = 'measurements'")).drop("set_name"),
-    "select source_model_id, 'measurements' as section, k as field_name, count(distinct id) as n_entities from (select source_model_id, id, unnest(json_keys(canonical_json, '$.measurements')) as k from ifc_entities) group by 1, 2, 3",
-)
